@@ -15,7 +15,14 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).drop("host_rate")
 
 
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from facetrank.llm.minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op9_quality_rules": op9_quality_rules,
 }
 
