@@ -7,8 +7,8 @@ positions left out finds every pair below that distance. Pairs are confirmed on
 
 How hot groups are kept flat: documents with the same set are one class and join once; in each bucket members are
 linked with one centre (a star, not all pairs), and only where a bucket still spans several components are members
-outside the centre's component compared with the rest, under the signature distance. Links are confirmed in joins that
-Spark can split, and components come from an iterative join.
+outside the centre's component compared with the rest, in pairs of small blocks that only confirmed links leave. Other
+links are confirmed in joins that Spark can split, and components come from an iterative join.
 
 Defined cases: null and blank texts have the empty set and are linked with nothing; fewer words than a shingle give one
 shingle of them all; repeated rows are copies; rows with one id are one node; a null id is linked with nothing; an
@@ -165,14 +165,12 @@ def full_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
             sets = [np.sort(value[a:b]).tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], names=["id", "hashes"])
 
-    wanted = docs.select("doc_id", "text").join(ids.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    wanted = docs.select("doc_id", "text").join(ids.select(F.col("id").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi")
     return wanted.mapInArrow(run, "id bigint, hashes binary")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) whose full sets have 100 * intersection >= percent * union."""
-    pairs = cut(pairs.distinct())
-    sets = cut(full_sets(docs, pairs.select(F.col("u").alias("id")).union(pairs.select("v")), size))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,8 +183,79 @@ def confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataF
                 good.append(common * 100 >= percent * (len(both) - common))
             yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
 
-    one, two = (sets.select(F.col("id").alias(c), F.col("hashes").alias(f"h{c}")) for c in "uv")
-    return pairs.join(one, "u").join(two, "v").select("u", "v", "hu", "hv").mapInArrow(run, "u bigint, v bigint").distinct()
+    one, two = (sets.select(F.col("id").alias(c), F.col("hashes").alias(f"h{c}")).hint("merge") for c in "uv")
+    return pairs.join(one, "u").join(two, "v").select("u", "v", "hu", "hv").mapInArrow(run, "u bigint, v bigint")
+
+
+def _common(sets: list[np.ndarray], n: int) -> np.ndarray:
+    """Sizes of the intersections of the first ``n`` sets with the others, by products of 0/1 matrices.
+
+    The matrices have some thousand columns at a time, so that memory doesn't follow the longest document.
+    """
+    value = np.concatenate(sets)
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    order = np.argsort(value, kind="stable")
+    value, row = value[order], row[order]
+    new = np.ones(len(value), bool)
+    new[1:] = value[1:] != value[:-1]
+    column = np.cumsum(new) - 1
+    out = np.zeros((n, len(sets) - n), np.float32)
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, 8192):
+        at = slice(*np.searchsorted(column, [start, start + 8192]))
+        dense = np.zeros((len(sets), 8192), np.float32)
+        dense[row[at], column[at] - start] = 1
+        out += dense[:n] @ dense[n:].T
+    return out.astype(np.int64)
+
+
+def confirm_across(named: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) between components that share buckets, from ``named`` (home, id, component).
+
+    For each home, those outside it meet all members: both are dealt into blocks, each pair of blocks is one small
+    group, and only confirmed links leave it.
+    """
+    spark = named.sparkSession
+    named = named.hint("merge")
+    sizes = named.groupBy("home").agg(F.count(F.lit(1)).alias("n_all"), F.count_if(F.expr("component <> home")).alias("n_out")).where("n_out > 0")
+    per_task = named.count() // (2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    block = F.lit(max(64, min(1024, per_task)))
+    counted = named.join(sizes, "home").withColumns({"rows": F.ceil(F.col("n_all") / block).cast("int"), "columns": F.ceil(F.col("n_out") / block).cast("int")})
+    every = counted.withColumns({"one": F.pmod(F.xxhash64("id"), "rows").cast("int"), "two": F.explode(F.expr("sequence(0, columns - 1)")), "outside": F.lit(False)})
+    out = counted.where("component <> home").withColumns({"two": F.pmod(F.xxhash64("id"), "columns").cast("int"), "one": F.explode(F.expr("sequence(0, rows - 1)")), "outside": F.lit(True)})
+    fields = ["home", "one", "two", "outside", "id", "component"]
+    dealt = every.select(*fields).union(out.select(*fields)).join(sets.hint("merge"), "id").repartition("home", "one", "two")
+    dealt = dealt.sortWithinPartitions("home", "one", "two", "outside").select(*fields, "hashes")
+
+    def linked(rows: list[tuple]) -> Iterator[tuple[int, int]]:
+        outside = [r for r in rows if r[3]]
+        rest = [r for r in rows if not r[3]]
+        if not outside or not rest:
+            return
+        found = [np.frombuffer(r[6].as_buffer(), np.uint64) for r in outside + rest]
+        size = np.array([len(x) for x in found])
+        common = _common(found, len(outside))
+        union = size[: len(outside), None] + size[None, len(outside) :] - common
+        for i, j in zip(*np.nonzero(common * 100 >= percent * union), strict=True):
+            if outside[i][5] != rest[j][5]:
+                yield outside[i][4], rest[j][4]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            for row in zip(*(batch.column(c).to_pylist() for c in fields), batch.column("hashes"), strict=True):
+                if held and held[0][:3] != row[:3]:
+                    found += linked(held)
+                    held = []
+                held.append(row)
+            yield from links(found)
+        yield from links(list(linked(held)))
+
+    def links(found: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["u", "v"])
+
+    return dealt.mapInArrow(run, "u bigint, v bigint").distinct()
 
 
 def near_duplicates(
@@ -203,21 +272,18 @@ def near_duplicates(
     bucket = Window.partitionBy("key")
     members = chunk_keys(reps, positions, chunk, errors).withColumns({"centre": F.min("id").over(bucket), "last": F.max("id").over(bucket)})
     members = cut(members.where("centre < last").select("key", "id", "centre"))
+    sets = cut(full_sets(docs, members, shingle))
     stars = members.where("id <> centre").select(F.col("centre").alias("u"), F.col("id").alias("v")).distinct()
-    links = cut(confirm(near_enough(stars, reps, positions, percent, max_distance), docs, shingle, percent))
+    links = cut(confirm(cut(near_enough(stars, reps, positions, percent, max_distance)), sets, percent))
     found = cut(components(links))
 
     # Buckets that still span components: who stands outside the centre's component meets the rest of the bucket.
     named = members.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     own = found.select(F.col("node").alias("centre"), F.col("component").alias("home"))
-    named = cut(named.join(own, "centre", "left").withColumn("home", F.coalesce("home", "centre")).select("key", "id", "component", "home"))
-    outside = named.where("component <> home").select("key", F.col("id").alias("v"), F.col("component").alias("cv"))
-    rest = named.select("key", F.col("id").alias("u"), F.col("component").alias("cu"), (F.col("component") == F.col("home")).alias("at_home"))
-    open_keys = outside.select("key").distinct()
-    met = rest.join(open_keys, "key", "left_semi").join(outside, "key").where("cu <> cv AND (at_home OR u < v)")
-    more = met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    more = more.join(stars, ["u", "v"], "left_anti")
-    more = cut(confirm(near_enough(more, reps, positions, percent, max_distance), docs, shingle, percent))
+    named = named.join(own, "centre", "left").withColumn("home", F.coalesce("home", "centre"))
+    spans = F.bool_or(F.col("component") != F.col("home")).over(bucket)
+    named = cut(named.withColumn("open", spans).where("open").select("home", "id", "component").distinct())
+    more = cut(confirm_across(named, sets, percent))
     if not more.isEmpty():
         found = cut(components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more.select("u", "v"))))
 
