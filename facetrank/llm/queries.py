@@ -33,6 +33,19 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from facetrank.llm.token_counts import count_tokens
+
+    return count_tokens(table(spark, sf_dir, "documents"), vocabulary="piece_bpe_32k.model")
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from facetrank.llm.sharding import SHARDS, assign
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    return assign(docs, "doc_id", [f"shard-{i:03d}" for i in range(SHARDS)])
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from facetrank.llm.bpe import encode
 
@@ -60,6 +73,8 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_url_filter": op2_url_filter,
+    "op3_token_counts": op3_token_counts,
+    "op4_sharding": op4_sharding,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
