@@ -293,3 +293,20 @@ def near_duplicates(
     out = every.drop("sig").withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(homes, ["d1", "d2", "_salt"], "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` (with doc_id and text) without near-duplicates: of each group, the smallest id stays once.
+
+    Rows with a null id are linked with nothing and stay.
+    """
+    judged = cut(near_duplicates(docs, **options).select("doc_id", "kept"))
+    gone = judged.where("NOT kept").select("doc_id").distinct()
+    out = docs.join(gone.hint("merge"), "doc_id", "left_anti")
+    again = judged.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if again.isEmpty():
+        return out.select(*docs.columns)
+    again = cut(again)
+    first = Window.partitionBy("doc_id").orderBy(*[F.col(f"`{c}`") for c in docs.columns if c != "doc_id"])
+    once = out.join(again, "doc_id", "left_semi").withColumn("_row", F.row_number().over(first)).where("_row = 1").select(*docs.columns)
+    return out.join(again, "doc_id", "left_anti").select(*docs.columns).union(once)

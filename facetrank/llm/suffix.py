@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -359,3 +360,37 @@ def repeat_report(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     out = every.drop("segments").join(changed, ["id0", "d"], "left")
     counts = [F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in ("n_removed", "n_spans")]
     return out.select("doc_id", "n_bytes", *counts, F.coalesce("kept", "sha256").alias("kept_sha256"))
+
+
+def remove_repeats(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
+    """``docs`` (with doc_id and text) without the repeated bytes; n_chars follows, other columns stay.
+
+    Of a character of several bytes, all go or none: spans are shrunk to whole characters.
+    """
+    slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    _, hit = _spans(slim, length)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in K.slices(batches):
+            kept = []
+            for text, ranges in zip(batch.column("text").to_pylist(), batch.column("ranges").to_pylist(), strict=True):
+                data = text.encode()
+                edges = [0, *(x for r in whole_characters(data, merged(ranges)) for x in r), len(data)]
+                kept.append(b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)).decode())
+            yield pa.RecordBatch.from_arrays([batch.column("id0"), batch.column("d"), pa.array(kept, pa.string())], names=["_id0", "_d", "_kept"])
+
+    changed = cut(hit.mapInArrow(run, "_id0 bigint, _d bigint, _kept string")).dropDuplicates(["_id0", "_d"])
+    fields = [f for f in docs.schema if f.name not in ("_id0", "_d", "_kept")]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", _id0 bigint, _d bigint"
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in K.slices(batches):
+            digest, _ = _digests(*K.buffers(batch.column("text")))
+            ids = pc.cast(batch.column("doc_id"), pa.int64()).fill_null(-1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, ids, _as_signed(digest)], names=[*batch.schema.names, "_id0", "_d"])
+
+    marked = docs.select(*(f"`{f.name}`" for f in fields)).mapInArrow(mark, schema)
+    out = marked.join(changed.hint("merge"), ["_id0", "_d"], "left").withColumn("text", F.coalesce("_kept", "text"))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
