@@ -13,7 +13,9 @@ the capacity and only its last piece may be shorter.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
+from operator import neg
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +30,11 @@ from facetrank.sources.session import cut, prepare
 CAPACITY = 2048
 #: Pieces in a group; the last bin of a group is the one that may stay open.
 GROUP_PIECES = 2500
-#: Words whose ids a worker keeps before it starts anew.
-CACHE_WORDS = 700_000
+#: Words, and bare words, whose ids a worker keeps.
+CACHE_WORDS = 1_000_000
+#: Never the beginning of a contraction, so a cut beside these is one that the vocabulary's pattern makes.
+LAST_LATIN = "\u024f"
+PUNCTUATION = b'.,;:!?#*$%&|<>()"'
 END_ID = 0
 
 
@@ -42,10 +47,34 @@ def tokenizer_path(name: str) -> str:
     return name if os.path.isabs(name) else public_tokenizers.path(name)
 
 
+class Recent:
+    """About the last ``size`` keys asked for: a young dict, and an old one that goes when the young one is full."""
+
+    def __init__(self, size: int):
+        self.half, self.young, self.old = size // 2, {}, {}
+
+    def missing(self, keys: set) -> list:
+        """Those keys that aren't held; the others are in ``young`` from now on."""
+        if len(self.young) > self.half:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        out = []
+        for key in keys.difference(young):
+            value = old.get(key)
+            if value is None:
+                out.append(key)
+            else:
+                young[key] = value
+        return out
+
+
 class WordEncoder:
     """Ids of whole texts, by encoding each distinct word once.
 
     The vocabulary's rules drop white space and never join across it, so a text's ids are those of its words in turn.
+    A word is also cut between punctuation at its ends and a letter or digit, where the rules always cut, so that the
+    bare word is what is encoded and kept. Bare words of Latin letters are lower-cased first, as the rules do (none of
+    these letters composes with another, and each has one lower-case letter).
     """
 
     def __init__(self, vocabulary: str):
@@ -56,41 +85,82 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path(vocabulary))
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[bytes, bytes] = {}
-
-    def ids(self, texts: list[bytes]) -> list[bytes]:
-        """Each text's ids as little-endian 32-bit integers."""
-        split = [t.split() for t in texts]
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        known = self.known
-        new = list({w for words in split for w in words if w not in known})
+        self.words, self.parts = Recent(CACHE_WORDS), Recent(CACHE_WORDS)
+
+    @staticmethod
+    def cut(word: bytes) -> tuple[bytes, ...]:
+        if word.isalnum():
+            return (word.lower(),)
+        bare = word.strip(PUNCTUATION)
+        if bare.isascii():
+            if not (bare[:1].isalnum() and bare[-1:].isalnum()):
+                return (word,)
+            low = bare.lower()
+        else:
+            text = bare.decode()
+            small = text.lower()
+            if not (small[0].isalpha() and small[-1].isalpha()):
+                return (word,)
+            low = small.encode() if max(text) <= LAST_LATIN and "\u0130" not in text else bare
+        if len(bare) == len(word):
+            return (low,)
+        at = word.index(bare)
+        return tuple(x for x in (word[:at], low, word[at + len(bare) :]) if x)
+
+    def known(self, distinct: list[bytes]) -> list[bytes]:
+        """Ids of each of some distinct words, as little-endian 32-bit integers."""
+        cuts = {w: self.cut(w) for w in self.words.missing(set(distinct))}
+        new = self.parts.missing(set().union(*cuts.values()))
+        words, parts = self.words.young, self.parts.young
         for start in range(0, len(new), 4096):
-            part = new[start : start + 4096]
-            for word, found in zip(part, self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
-                known[word] = np.array(found.ids, "<u4").tobytes()
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+            some = new[start : start + 4096]
+            found = [x.ids for x in self.tokenizer.encode_batch_fast([p.decode() for p in some], add_special_tokens=False)]
+            flat = np.array([i for ids in found for i in ids], "<u4").tobytes()
+            at = 0
+            for part, ids in zip(some, found, strict=True):
+                parts[part] = flat[at : (at := at + 4 * len(ids))]
+        for word, cut in cuts.items():
+            words[word] = parts[cut[0]] if len(cut) == 1 else b"".join([parts[p] for p in cut])
+        return [words[w] for w in distinct]
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, first of each text and the end)."""
+        split = pc.ascii_split_whitespace(texts.fill_null(""))
+        first = np.asarray(split.offsets).astype(np.int64)
+        coded = split.flatten().dictionary_encode()
+        index = np.asarray(coded.indices)
+        held = self.known(coded.dictionary.cast(pa.binary()).to_pylist())
+        size = np.array([len(x) for x in held], np.int64) // 4
+        begin = np.cumsum(size) - size
+        flat = np.frombuffer(b"".join(held), "<u4")
+        length = size[index]
+        end = np.cumsum(length)
+        total = int(end[-1]) if len(end) else 0
+        out = flat[np.arange(total) + np.repeat(begin[index] - end + length, length)]
+        return out, np.concatenate([[0], end])[first - first[0]]
 
 
 def tokenize(docs: DataFrame, *, vocabulary: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]) of every piece of every row of ``docs`` (doc_id, text)."""
     prepare(docs.sparkSession)
-    end = np.array([END_ID], "<u4").tobytes()
+    end = np.array([END_ID], "<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = K.worker_cache(f"words {vocabulary}", lambda: WordEncoder(vocabulary))
-        for batch in K.slices(batches):
-            texts = [b"" if t is None else t.encode() for t in batch.column("text").to_pylist()]
+        for batch in K.slices(batches, limit=4 * K.SLICE_BYTES):
+            flat, first = encoder.ids(batch.column("text"))
             rows: list[list] = [[], [], [], [], []]
             pieces = []
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), encoder.ids(texts), strict=True):
-                ids += end
-                for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    for column, value in zip(rows, (doc, piece, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
+            for i, doc in enumerate(batch.column("doc_id").to_pylist()):
+                ids = flat[first[i] : first[i + 1]]
+                for piece, at in enumerate(range(0, len(ids) + 1, capacity)):
+                    part = ids[at : at + capacity]
+                    if len(part) < capacity:
+                        part = np.concatenate([part, end])
+                    for column, value in zip(rows, (doc, piece, at, len(part), zlib.crc32(part)), strict=True):
                         column.append(value)
                     if with_ids:
-                        pieces.append(np.frombuffer(part, "<u4").astype(np.int32))
+                        pieces.append(part.astype(np.int32))
             arrays = [pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int32()), *(pa.array(x, pa.int64()) for x in rows[2:])]
             if with_ids:
                 arrays.append(pa.array(pieces, pa.list_(pa.int32())))
@@ -100,25 +170,24 @@ def tokenize(docs: DataFrame, *, vocabulary: str, capacity: int = CAPACITY, with
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def fullest(lengths: list[int], counts: list[int], room: int) -> list[int]:
-    """The multiset of ``lengths`` (each at most ``counts`` times) with the largest sum up to ``room``.
+def fullest(lengths: list[int], stock: dict[int, list[int]], room: int) -> list[int]:
+    """The multiset of ``lengths`` (longest first, each at most as often as in stock) with the largest sum up to ``room``.
 
-    Bit s of the bitset says that some combination has the sum s. Lengths are added one copy at a time, longest first,
-    until the room is filled exactly; the steps are then walked back.
+    Bit s of the bitset says that some combination has the sum s. Lengths are added one copy at a time until the room
+    is filled exactly; the steps are then walked back.
     """
-    mask, sums, steps = (1 << (room + 1)) - 1, 1, []
-    for length, count in zip(lengths, counts, strict=True):
-        if length > room:
-            continue
-        for _ in range(min(count, room // length)):
+    mask, full, sums, steps = (1 << (room + 1)) - 1, 1 << room, 1, []
+    for k in range(bisect_left(lengths, -room, key=neg), len(lengths)):
+        length = lengths[k]
+        for _ in range(min(len(stock[length]), room // length)):
             after = sums | (sums << length) & mask
             if after == sums:
                 break
             steps.append((length, sums))
             sums = after
-            if sums >> room & 1:
+            if sums & full:
                 break
-        if sums >> room & 1:
+        if sums & full:
             break
     best, chosen = sums.bit_length() - 1, []
     for length, before in reversed(steps):
@@ -135,20 +204,20 @@ def pack_lengths(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
     for i in np.argsort(lengths, kind="stable")[::-1]:
         stock.setdefault(int(lengths[i]), []).append(int(i))
     order, number = sorted(stock, reverse=True), 0
+
+    def take(length: int, used: int) -> int:
+        i = stock[length].pop()
+        bins[i], offsets[i] = number, used
+        if not stock[length]:
+            del stock[length]
+            del order[bisect_left(order, -length, key=neg)]
+        return used + length
+
     while order:
-        taken, used = [order[0]], 0
-        room = capacity - order[0]
-        counts = [len(stock[x]) for x in order]
-        counts[0] -= 1
-        if room:
-            taken += fullest(order, counts, room)
-        for length in taken:
-            i = stock[length].pop()
-            bins[i], offsets[i] = number, used
-            used += length
-            if not stock[length]:
-                del stock[length]
-                order.remove(length)
+        used = take(order[0], 0)
+        if used < capacity:
+            for length in fullest(order, stock, capacity - used):
+                used = take(length, used)
         number += 1
     return bins, offsets
 
