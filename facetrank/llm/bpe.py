@@ -26,11 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from facetrank.llm import text as K
-from facetrank.llm.packing import tokenizer_path
+from facetrank.llm.packing import Recent, tokenizer_path
 from facetrank.sources.session import prepare
 
-#: Cuts and pairs of tokens that a worker keeps before it starts anew.
-CACHE_CUTS = 700_000
+#: Cuts, pieces and pairs of tokens that a worker keeps.
+CACHE_CUTS = 1_000_000
+CACHE_PIECES = 800_000
 CACHE_PAIRS = 1_000_000
 #: White space as Unicode has it (fixed values).
 SPACE = "\t-\r \x85\xa0  -     　"
@@ -86,7 +87,7 @@ class Bpe:
         self.halves: dict[int, tuple[int, int]] = {}
         self.edges: dict[tuple[int, bool], list[tuple[bytes, int, int]] | None] = {}
         self.fits: dict[tuple[int, int], bool] = {}
-        self.cuts: dict[str, bytes] = {}
+        self.cuts, self.pieces = Recent(CACHE_CUTS), Recent(CACHE_PIECES)
         size = max(self.tokens) + 1
         self.width = np.zeros(size, np.int64)
         for k, v in self.tokens.items():
@@ -197,25 +198,20 @@ class Bpe:
             return [token]
         return PrefixTable(self, data).ids()
 
-    def cut_ids(self, cut: str) -> bytes:
-        out: list[int] = []
-        for found in self.pattern.findall(cut):
-            out += self.piece(found.encode())
-        return struct.pack(f"<{len(out)}I", *out)
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        split = [CUT.findall(t) for t in texts]
+        new = {c: self.pattern.findall(c) for c in self.cuts.missing(set().union(*split))}
+        for piece in self.pieces.missing(set().union(*new.values())):
+            ids = self.piece(piece.encode())
+            self.pieces.young[piece] = struct.pack(f"<{len(ids)}I", *ids)
+        cuts, pieces = self.cuts.young, self.pieces.young
+        for c, found in new.items():
+            cuts[c] = pieces[found[0]] if len(found) == 1 else b"".join([pieces[p] for p in found])
+        return [b"".join(map(cuts.__getitem__, some)) for some in split]
 
     def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        cuts = CUT.findall(text)
-        known = self.cuts
-        if len(known) > CACHE_CUTS:
-            known.clear()
-        try:
-            return b"".join(map(known.__getitem__, cuts))
-        except KeyError:
-            for c in cuts:
-                if c not in known:
-                    known[c] = self.cut_ids(c)
-            return b"".join(map(known.__getitem__, cuts))
+        return self.encode_all([text])[0]
 
     def decode(self, ids: bytes) -> bytes:
         found = np.frombuffer(ids, "<u4").astype(np.int64)
@@ -244,8 +240,7 @@ def encode(docs: DataFrame, *, ranks: str, pattern: str | None = None, doc_id: s
         bpe = K.worker_cache(f"bpe {ranks} {pattern}", lambda: load(ranks, pattern))
         for batch in K.slices(batches):
             n, digest, decoded, kept = [], [], [], []
-            for text in batch.column("text").to_pylist():
-                ids = bpe.encode(text or "")
+            for ids in bpe.encode_all([t or "" for t in batch.column("text").to_pylist()]):
                 n.append(len(ids) // 4)
                 digest.append(hashlib.sha256(ids).hexdigest())
                 decoded.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
