@@ -77,13 +77,31 @@ def segments(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tupl
         start, whole = np.repeat(start, parts) + inner * RUN, np.repeat(n, parts)
         n = np.minimum(RUN, whole - inner * RUN)
     h = least[start]
-    span = n + width - 1
-    place = np.arange(span.sum()) - np.repeat(np.cumsum(span) - span, span) + np.repeat(start, span)
-    twice = K.sums(grams[place] == np.repeat(h, span), np.concatenate([[0], np.cumsum(span)])) > 1
+    twice = _occurs_twice(grams, h, start, start + n + width - 1)
     c = K.range_hashes(prefix, start, start + n + length - 1)
     return doc[start], h, c, start - offsets[doc[start]], n, twice
 
 
+def _occurs_twice(grams: np.ndarray, h: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Whether each hash stands at two places or more of its range."""
+    mask = K.U64((1 << 22) - 1)
+    marked = np.zeros(1 << 22, bool)
+    marked[h & mask] = True
+    at = np.flatnonzero(marked[grams & mask])
+    value = grams[at]
+    order = np.argsort(value, kind="stable")
+    value, at = value[order], at[order]
+    low, high = np.searchsorted(value, h, "left"), np.searchsorted(value, h, "right")
+    out = np.zeros(len(h), bool)
+    many = np.flatnonzero(high - low > 1)
+    # Places of one value are in order, so those in a range are a run of them.
+    size = (high - low)[many]
+    place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(low[many], size)
+    inside = (at[place] >= np.repeat(start[many], size)) & (at[place] < np.repeat(stop[many], size))
+    out[many] = K.sums(inside, np.concatenate([[0], np.cumsum(size)])) > 1
+    return out
+
+
 def _as_signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
@@ -123,7 +141,7 @@ def transform(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         key = (key << K.U64(9)) | np.roll(symbols, -k).astype(np.uint64)
     reach = 7
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         ordered = key[order]
         new = np.ones(n, bool)
         new[1:] = ordered[1:] != ordered[:-1]
@@ -213,32 +231,36 @@ def repeated(parts: list[bytes], weights: np.ndarray, length: int) -> list[tuple
     return list(zip(owner[first].tolist(), offset[first].tolist(), (end - begin[owner[first]]).tolist(), strict=True))
 
 
-def _expand_batches(rows: DataFrame, length: int) -> DataFrame:
-    """(h, c, first, stop) of the repeated windows of each segment (h, c, m, data)."""
+_PART = ["h", "id0", "d", "start", "m", "data"]
+_RANGE = "id0 bigint, d bigint, a bigint, b bigint"
+
+
+def _expand_batches(parts: DataFrame, length: int) -> DataFrame:
+    """(id0, d, a, b): byte ranges of the repeated windows of the segments that occur once."""
 
     def solve(held: list[tuple]) -> pa.RecordBatch:
-        found = repeated([x[3] for x in held], np.array([x[2] for x in held]), length)
-        columns = zip(*((held[i][0], held[i][1], a, b) for i, a, b in found), strict=True) if found else ([], [], [], [])
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["h", "c", "first", "stop"])
+        found = repeated([x[5] for x in held], np.array([x[4] for x in held]), length)
+        rows = [(held[i][1], held[i][2], held[i][3] + first, held[i][3] + stop + length - 1) for i, first, stop in found if held[i][4] == 1]
+        columns = zip(*rows, strict=True) if rows else ([], [], [], [])
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["id0", "d", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("h", "c", "m", "data")), strict=True):
+            for row in zip(*(batch.column(c).to_pylist() for c in _PART), strict=True):
                 if size >= BATCH_BYTES and held[-1][0] != row[0]:
                     yield solve(held)
                     held, size = [], 0
                 held.append(row)
-                size += len(row[3])
+                size += len(row[5])
         if held:
             yield solve(held)
 
-    dealt = rows.select("h", "c", "m", "data").repartition("h").sortWithinPartitions("h", "c")
-    return dealt.mapInArrow(run, "h bigint, c bigint, first bigint, stop bigint")
+    return parts.select(*_PART).repartition("h").sortWithinPartitions("h").mapInArrow(run, _RANGE)
 
 
-def _hot_windows(rows: DataFrame, length: int) -> DataFrame:
+def _hot_windows(parts: DataFrame, length: int) -> DataFrame:
     """As :func:`_expand_batches`, for hashes with very many segments: windows counted by their own hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,29 +273,31 @@ def _hot_windows(rows: DataFrame, length: int) -> DataFrame:
             start = offsets[:-1][owner] + at
             half = length // 2
             w1, w2 = K.range_hashes(prefix, start, start + length), K.range_hashes(prefix, start, start + half) * K.U64(3) + K.range_hashes(prefix, start + half, start + length)
-            picked = [batch.column(c).take(pa.array(owner)) for c in ("h", "c", "m")]
-            yield pa.RecordBatch.from_arrays([*picked, _as_signed(w1), _as_signed(w2), pa.array(at)], names=["h", "c", "m", "w1", "w2", "first"])
+            picked = [batch.column(c).take(pa.array(owner)) for c in ("id0", "d", "m")]
+            place = np.asarray(batch.column("start"))[owner] + at
+            yield pa.RecordBatch.from_arrays([*picked, pa.array(place), _as_signed(w1), _as_signed(w2)], names=["id0", "d", "m", "a", "w1", "w2"])
 
-    windows = rows.select("h", "c", "m", "data").mapInArrow(run, "h bigint, c bigint, m bigint, w1 bigint, w2 bigint, first bigint")
+    windows = parts.select("id0", "d", "m", "start", "data").mapInArrow(run, "id0 bigint, d bigint, m bigint, a bigint, w1 bigint, w2 bigint")
     twice = windows.groupBy("w1", "w2").agg(F.sum("m").alias("total")).where("total > 1")
-    return windows.join(twice, ["w1", "w2"]).select("h", "c", "first", (F.col("first") + 1).alias("stop"))
+    return windows.join(twice, ["w1", "w2"]).where("m = 1").select("id0", "d", "a", (F.col("a") + length).alias("b"))
 
 
 def _fetch(texts: DataFrame, length: int) -> DataFrame:
-    """(h, c, m, hot, data): the bytes of each segment wanted, from rows with a text and ``wanted``."""
+    """(h, id0, d, start, m, hot, data): the bytes of each segment wanted, from rows with a text and ``wanted``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in K.slices(batches):
-            out: list[list] = [[], [], [], [], []]
-            for text, wanted in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
-                data = text.encode()
+            out: list[list] = [[] for _ in range(7)]
+            for id0, d, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("id0", "d", "text", "wanted")), strict=True):
+                data = text.encode() if wanted else b""
                 for w in wanted or ():
-                    for column, value in zip(out, (w["h"], w["c"], w["m"], w["hot"], data[w["start"] : w["start"] + w["n"] + length - 1]), strict=True):
+                    piece = data[w["start"] : w["start"] + w["n"] + length - 1]
+                    for column, value in zip(out, (w["h"], id0, d, w["start"], w["m"], w["hot"], piece), strict=True):
                         column.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=["h", "c", "m", "hot", "data"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=["h", "id0", "d", "start", "m", "hot", "data"])
 
-    return texts.select("text", "wanted").mapInArrow(run, "h bigint, c bigint, m bigint, hot boolean, data binary")
+    return texts.select("id0", "d", "text", "wanted").mapInArrow(run, "h bigint, id0 bigint, d bigint, start bigint, m bigint, hot boolean, data binary")
 
 
 def merged(ranges: list[dict]) -> list[tuple[int, int]]:
@@ -312,18 +336,18 @@ def _spans(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     # One kind of segment that occurs twice is an interval that needs no expansion: its weight says that it repeats.
     rows = cut(rows.where("m > 1 OR kinds > 1 OR any_inner").withColumn("open", F.expr("kinds > 1 OR any_inner")).drop("inner", "any_inner"))
 
-    asked = F.struct("h", "c", "m", "start", "n", (F.col("kinds") > HOT_SEGMENTS).alias("hot"))
+    asked = F.struct("h", "m", "start", "n", (F.col("kinds") > HOT_SEGMENTS).alias("hot"))
     lists = rows.groupBy("id0", "d").agg(F.collect_list(F.when(F.col("open") & F.col("pick"), asked)).alias("wanted"))
     texts = cut(_with_digest(docs).join(lists.hint("merge"), ["id0", "d"]))
-    parts = _fetch(texts, length)
-    parts = cut(parts.dropDuplicates(["h", "c"]))
-    found = _expand_batches(parts.where("NOT hot"), length)
+    once = texts
+    if not every.groupBy("id0", "d").count().where("count > 1").isEmpty():
+        once = texts.dropDuplicates(["id0", "d"])  # rows that are the same in id and text are asked once
+    parts = cut(_fetch(once, length))
+    ranges = _expand_batches(parts.where("NOT hot"), length)
     if not parts.where("hot").isEmpty():
-        found = found.union(_hot_windows(parts.where("hot"), length))
+        ranges = ranges.union(_hot_windows(parts.where("hot"), length))
     whole = rows.where("m > 1").select("id0", "d", F.col("start").alias("a"), (F.col("start") + F.col("n") + (length - 1)).alias("b"))
-    part = rows.where("m = 1 AND open").join(found.hint("merge"), ["h", "c"])
-    part = part.select("id0", "d", (F.col("start") + F.col("first")).alias("a"), (F.col("start") + F.col("stop") + (length - 1)).alias("b"))
-    ranges = whole.union(part).groupBy("id0", "d").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
+    ranges = whole.union(ranges).groupBy("id0", "d").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
     return every, texts.select("id0", "d", "text").join(ranges.hint("merge"), ["id0", "d"])
 
 
