@@ -38,8 +38,8 @@ GRAM = 32
 RUN = 4096
 #: Bytes of segments that one transform is built of.
 BATCH_BYTES = 1 << 20
-#: Different segments of one hash that a batch may hold; beyond, windows are counted by their own hash.
-HOT_SEGMENTS = 1500
+#: Different segments of one hash that a batch may hold, some 6 MB; beyond, windows are counted by their own hash.
+HOT_SEGMENTS = 16_384
 _SEGMENT = "h bigint, c bigint, start bigint, n bigint, inner boolean"
 
 
