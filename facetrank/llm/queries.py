@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from facetrank.llm.oracle import ORACLE
 from facetrank.sources.session import table
 
+__all__ = ["ORACLE", "QUERIES"]
+
 
 def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     from facetrank.llm.topk import top_k
@@ -82,5 +85,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
-
-ORACLE: dict[str, str] = {}
