@@ -238,7 +238,7 @@ def encode(docs: DataFrame, *, ranks: str, pattern: str | None = None, doc_id: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = K.worker_cache(f"bpe {ranks} {pattern}", lambda: load(ranks, pattern))
-        for batch in K.slices(batches):
+        for batch in K.slices(batches, using=f"bpe {ranks} {pattern}"):
             n, digest, decoded, kept = [], [], [], []
             for ids in bpe.encode_all([t or "" for t in batch.column("text").to_pylist()]):
                 n.append(len(ids) // 4)

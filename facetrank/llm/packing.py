@@ -147,7 +147,7 @@ def tokenize(docs: DataFrame, *, vocabulary: str, capacity: int = CAPACITY, with
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = K.worker_cache(f"words {vocabulary}", lambda: WordEncoder(vocabulary))
-        for batch in K.slices(batches, limit=4 * K.SLICE_BYTES):
+        for batch in K.slices(batches, limit=8 * K.SLICE_BYTES, using=f"words {vocabulary}"):
             flat, first = encoder.ids(batch.column("text"))
             rows: list[list] = [[], [], [], [], []]
             pieces = []

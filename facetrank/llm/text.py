@@ -13,8 +13,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of text that a kernel handles at once.
-SLICE_BYTES = 2 << 20
+#: Bytes of text that a kernel handles at once; its arrays take some 100 times that.
+SLICE_BYTES = 1 << 20
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1  # odd, hence invertible modulo 2**64
 _BASE_INV = pow(_BASE, -1, 1 << 64)
@@ -33,8 +33,19 @@ def worker_cache(name: str, make):
     return held[name]
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about ``limit`` bytes of text (a longer document stands alone)."""
+def release(using: str | None = None) -> None:
+    """Drop what other operators' tasks have left in this worker, which serves one stage after the other."""
+    held = sys.__dict__.get("_facetrank_worker_cache", {})
+    for name in [n for n in held if n not in ("powers", using)]:
+        del held[name]
+
+
+def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES, using: str | None = None) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``limit`` bytes of text (a longer document stands alone).
+
+    ``using`` names the object of :func:`worker_cache` that the caller needs; others go.
+    """
+    release(using)
     for batch in batches:
         if not batch.num_rows:
             continue

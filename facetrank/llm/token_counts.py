@@ -96,7 +96,7 @@ def count_tokens(docs: DataFrame, *, vocabulary: str, doc_id: str = "doc_id", te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = K.worker_cache(f"unigram {vocabulary}", lambda: load(vocabulary))
-        for batch in K.slices(batches, limit=8 * K.SLICE_BYTES):
+        for batch in K.slices(batches, limit=8 * K.SLICE_BYTES, using=f"unigram {vocabulary}"):
             split = pc.utf8_split_whitespace(batch.column("text").fill_null(""))
             first = np.asarray(split.offsets).astype(np.int64)
             coded = split.flatten().dictionary_encode()
