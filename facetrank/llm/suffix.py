@@ -106,14 +106,23 @@ def _as_signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def fingerprint(docs: DataFrame, length: int) -> DataFrame:
-    """(doc_id, id0, d, n_bytes, sha256, segments): one row per document. (id0, d) is its id and a hash of its text."""
+def unique_ids(docs: DataFrame) -> bool:
+    """Whether an id names one row, so that a hash of the text isn't needed beside it."""
+    return docs.groupBy(F.coalesce("doc_id", F.lit(-1)).alias("id0")).count().where("count > 1").isEmpty()
+
+
+def fingerprint(docs: DataFrame, length: int, unique: bool) -> DataFrame:
+    """(doc_id, id0, d, n_bytes, sha256, segments): one row per document.
+
+    (id0, d) tells rows apart: the id, and a hash of the text, which is 0 where ids are unique.
+    """
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in K.slices(batches):
             raw, offsets = K.buffers(batch.column("text"))
             digest, sha = _digests(raw, offsets)
+            digest = digest * K.U64(not unique)
             doc, *parts = segments(raw, offsets, length)
             values = [_as_signed(parts[0]), _as_signed(parts[1]), pa.array(parts[2]), pa.array(parts[3]), pa.array(parts[4])]
             where = np.searchsorted(doc, np.arange(batch.num_rows + 1)).astype(np.int32)
@@ -326,7 +335,8 @@ def whole_characters(data: bytes, ranges: list[tuple[int, int]]) -> list[tuple[i
 
 def _spans(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     """(fingerprints of all rows, (id0, d, text, ranges) of those with repeats); both are cut."""
-    every = cut(fingerprint(docs, length))
+    unique = unique_ids(docs)
+    every = cut(fingerprint(docs, length, unique))
     runs = every.select("id0", "d", F.explode("segments").alias("s")).select("id0", "d", "s.*")
     again = runs.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.bool_or("inner").alias("inner")).where("k > 1 OR inner").select("h")
     same, hashes = Window.partitionBy("h", "c"), Window.partitionBy("h")
@@ -338,9 +348,9 @@ def _spans(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
 
     asked = F.struct("h", "m", "start", "n", (F.col("kinds") > HOT_SEGMENTS).alias("hot"))
     lists = rows.groupBy("id0", "d").agg(F.collect_list(F.when(F.col("open") & F.col("pick"), asked)).alias("wanted"))
-    texts = cut(_with_digest(docs).join(lists.hint("merge"), ["id0", "d"]))
+    texts = cut(_with_digest(docs, unique).join(lists.hint("merge"), ["id0", "d"]))
     once = texts
-    if not every.groupBy("id0", "d").count().where("count > 1").isEmpty():
+    if not unique and not every.groupBy("id0", "d").count().where("count > 1").isEmpty():
         once = texts.dropDuplicates(["id0", "d"])  # rows that are the same in id and text are asked once
     parts = cut(_fetch(once, length))
     ranges = _expand_batches(parts.where("NOT hot"), length)
@@ -351,8 +361,10 @@ def _spans(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     return every, texts.select("id0", "d", "text").join(ranges.hint("merge"), ["id0", "d"])
 
 
-def _with_digest(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text) as (id0, d, text)."""
+def _with_digest(docs: DataFrame, unique: bool) -> DataFrame:
+    """``docs`` (doc_id, text) as (id0, d, text), without null texts."""
+    if unique:
+        return docs.where("text IS NOT NULL").select(F.coalesce("doc_id", F.lit(-1)).alias("id0"), F.lit(0).cast("bigint").alias("d"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in K.slices(batches):
@@ -413,7 +425,11 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
             ids = pc.cast(batch.column("doc_id"), pa.int64()).fill_null(-1)
             yield pa.RecordBatch.from_arrays([*batch.columns, ids, _as_signed(digest)], names=[*batch.schema.names, "_id0", "_d"])
 
-    marked = docs.select(*(f"`{f.name}`" for f in fields)).mapInArrow(mark, schema)
+    marked = docs.select(*(f"`{f.name}`" for f in fields))
+    if unique_ids(slim):
+        marked = marked.withColumns({"_id0": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1)), "_d": F.lit(0).cast("bigint")})
+    else:
+        marked = marked.mapInArrow(mark, schema)
     out = marked.join(changed.hint("merge"), ["_id0", "_d"], "left").withColumn("text", F.coalesce("_kept", "text"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
