@@ -215,11 +215,12 @@ def confirm_across(named: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     group, and only confirmed links leave it.
     """
     spark = named.sparkSession
-    named = named.hint("merge")
     sizes = named.groupBy("home").agg(F.count(F.lit(1)).alias("n_all"), F.count_if(F.expr("component <> home")).alias("n_out")).where("n_out > 0")
     per_task = named.count() // (2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     block = F.lit(max(64, min(1024, per_task)))
-    counted = named.join(sizes, "home").withColumns({"rows": F.ceil(F.col("n_all") / block).cast("int"), "columns": F.ceil(F.col("n_out") / block).cast("int")})
+    # A home can hold a great part of all members: both sides are salted.
+    sizes = sizes.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    counted = named.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(sizes, ["home", "_salt"]).withColumns({"rows": F.ceil(F.col("n_all") / block).cast("int"), "columns": F.ceil(F.col("n_out") / block).cast("int")})
     every = counted.withColumns({"one": F.pmod(F.xxhash64("id"), "rows").cast("int"), "two": F.explode(F.expr("sequence(0, columns - 1)")), "outside": F.lit(False)})
     out = counted.where("component <> home").withColumns({"two": F.pmod(F.xxhash64("id"), "columns").cast("int"), "one": F.explode(F.expr("sequence(0, rows - 1)")), "outside": F.lit(True)})
     fields = ["home", "one", "two", "outside", "id", "component"]
