@@ -6,12 +6,16 @@ Equal scores are ordered by id, everywhere.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import math
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from facetrank.functions.numeric import dot, lit
+from facetrank.sources.session import prepare
 
 #: Queries that are sent to all tasks at once; more are taken in blocks of this size.
 QUERY_BLOCK = 1024
@@ -28,6 +32,90 @@ def dense_scores(items: DataFrame, queries: Mapping[int, Sequence[float]], embed
     return items.select(item_id, *keep, F.explode(scored).alias("s")).select("s.query_id", item_id, *keep, "s.dense")
 
 
+#: Items that meet a block of queries at once, and places (queries times k) that a task keeps.
+ITEM_BLOCK, PLACES = 1024, 2_000_000
+
+
+def dots(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Inner products of all rows of q with all rows of v, each summed from the first component on, as ``dot`` does."""
+    out, term = np.zeros((len(q), len(v))), np.empty((len(q), len(v)))
+    for d in range(q.shape[1]):
+        out += np.multiply(q[:, d, None], v[None, :, d], out=term)
+    return out
+
+
+def _query_blocks(queries: DataFrame, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    rows = queries.select(F.col("query_id").cast("bigint").alias("query_id"), F.col("vector").cast("array<double>").alias("vector")).orderBy("query_id").toArrow()
+    ids = rows.column("query_id").to_numpy()
+    flat = rows.column("vector").combine_chunks().flatten().to_numpy()
+    for at in range(0, len(ids), size):
+        yield ids[at : at + size], flat.reshape(len(ids), -1)[at : at + size]
+
+
+def _item_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for batch in batches:
+        if n := batch.num_rows:
+            ids, v = batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy().reshape(n, -1)
+            for at in range(0, n, ITEM_BLOCK):
+                yield ids[at : at + ITEM_BLOCK], v[at : at + ITEM_BLOCK]
+
+
+def _per_block(items: DataFrame, queries: DataFrame, size: int, run, embedding: str, item_id: str) -> DataFrame:
+    """What ``run(batches, query ids, query vectors)`` makes of the items, for each block of queries."""
+    spark = prepare(items.sparkSession)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    schema = f"query_id bigint, `{item_id}` bigint, dense double"
+    rows = items.select(F.col(item_id).cast("bigint").alias(item_id), F.col(embedding).cast("array<double>").alias("v")).repartition(n, item_id).sortWithinPartitions(item_id)
+    out = None
+    for block in _query_blocks(queries, size):
+        held = spark.sparkContext.broadcast(block)
+        part = rows.mapInArrow(lambda batches, held=held: run(batches, *held.value), schema)
+        out = part if out is None else out.unionAll(part)
+    return spark.createDataFrame([], schema) if out is None else out
+
+
+def nearest(items: DataFrame, queries: DataFrame, k: int, *, own: bool = True, embedding: str = "embedding", item_id: str = "vec_id") -> DataFrame:
+    """(query_id, item_id, dense, rank): each query's k best items, exactly, for any number of (query_id, vector).
+
+    Queries are taken in blocks; a task keeps the k best of its items, which come in order of id so that the first of
+    equals stays. Without ``own``, the item whose id is the query's is left out.
+    """
+    names = ["query_id", item_id, "dense"]
+
+    def run(batches: Iterator[pa.RecordBatch], ids: np.ndarray, vectors: np.ndarray) -> Iterator[pa.RecordBatch]:
+        cuts = range(0, len(ids), ITEM_BLOCK // 4)
+        best = {at: (np.empty((len(ids[at : at + ITEM_BLOCK // 4]), 0)), np.empty((len(ids[at : at + ITEM_BLOCK // 4]), 0), np.int64)) for at in cuts}
+        for mine, v in _item_blocks(batches):
+            for at in cuts:
+                q = ids[at : at + ITEM_BLOCK // 4]
+                s = dots(vectors[at : at + ITEM_BLOCK // 4], v)
+                if not own:
+                    s[q[:, None] == mine[None, :]] = -np.inf
+                s, there = np.hstack([best[at][0], s]), np.hstack([best[at][1], np.broadcast_to(mine, s.shape)])
+                first = np.argsort(-s, axis=1, kind="stable")[:, :k]
+                best[at] = np.take_along_axis(s, first, 1), np.take_along_axis(there, first, 1)
+        for at, (s, there) in best.items():
+            some = np.isfinite(s)
+            rows, _ = np.nonzero(some)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[at + rows]), pa.array(there[some]), pa.array(s[some])], names=names)
+
+    found = _per_block(items, queries, max(64, min(4 * QUERY_BLOCK, PLACES // max(k, 1))), run, embedding, item_id)
+    return ranked(found, ["query_id"], "dense", item_id, k)
+
+
+def all_scores(items: DataFrame, queries: DataFrame, embedding: str = "embedding", item_id: str = "vec_id") -> DataFrame:
+    """(query_id, item_id, dense) of each query with each item: as many rows as the product of both."""
+
+    def run(batches: Iterator[pa.RecordBatch], ids: np.ndarray, vectors: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for mine, v in _item_blocks(batches):
+            for at in range(0, len(ids), ITEM_BLOCK // 4):
+                q = ids[at : at + ITEM_BLOCK // 4]
+                s = dots(vectors[at : at + ITEM_BLOCK // 4], v)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q, len(mine))), pa.array(np.tile(mine, len(q))), pa.array(s.ravel())], names=["query_id", item_id, "dense"])
+
+    return _per_block(items, queries, 4 * QUERY_BLOCK, run, embedding, item_id)
+
+
 def query_vectors(items: DataFrame, ids: Sequence[int], embedding: str = "embedding", item_id: str = "vec_id") -> dict[int, list[float]]:
     """Vectors of some items by id, in order of id (as many as are named)."""
     rows = items.where(F.col(item_id).isin(list(ids))).select(item_id, embedding).orderBy(item_id).collect()
@@ -85,14 +173,17 @@ def gated_truth(scores: DataFrame, gate: float, k: int, dense: str = "dense", se
     return ranked(passed, ["query_id"], dense, item_id, k)
 
 
+def ask_size(fraction: float, k: int, multiplier: float, n_items: int) -> int:
+    """How many an over-fetching search asks for."""
+    return min(max(math.ceil(multiplier * k / fraction), k), max(n_items - 1, k))
+
+
 def over_fetch(scores: DataFrame, gate: float, fraction: float, k: int, multiplier: float, n_items: int, dense: str = "dense", semantic: str = "semantic", item_id: str = "vec_id") -> DataFrame:
     """Filter after fetching: the first ``ask`` by dense score, of these the first k that pass.
 
     The query's own item takes a place among the fetched and goes afterwards.
     """
-    import math
-
-    ask = min(max(math.ceil(multiplier * k / fraction), k), max(n_items - 1, k))
+    ask = ask_size(fraction, k, multiplier, n_items)
     fetched = ranked(scores, ["query_id"], dense, item_id, ask, "_fetched").drop("_fetched")
     return gated_truth(fetched, gate, k, dense, semantic, item_id)
 

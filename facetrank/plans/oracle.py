@@ -186,3 +186,17 @@ SQL: dict[str, str] = {
 }
 
 ORACLE = {name: with_parts(sql) for name, sql in SQL.items()}
+
+#: The same searches for every query of the whole set: what the fixed texts say of ten queries is said of all.
+WHOLE = ("dense_topk", "gated_truth_topk", "overfetch_recall", "ranking_stats_by_retention", "group_summary", "pivot_methods", "paired_delta", "prevalence_depth", "result_parity")
+FEW = (("q.vec_id < 10", "q.vec_id % 20 = 0"), ("range(0, 10) a(q)", "(SELECT vec_id FROM embeddings WHERE vec_id % 20 = 0) a(q)"), ("range(0, 10) t(q)", "(SELECT vec_id FROM embeddings WHERE vec_id % 20 = 0) t(q)"))
+
+
+def for_all(sql: str) -> str:
+    for few, every in FEW:
+        sql = sql.replace(few, every)
+    return sql
+
+
+ORACLE |= {f"{name}_all": for_all(ORACLE[name]) for name in WHOLE}
+ORACLE["label_threshold_all"] = for_all(with_parts("SELECT query_id, vec_id, (dense >= quantile_cont(dense, 0.6) OVER (PARTITION BY query_id))::INTEGER AS label FROM dense"))

@@ -33,7 +33,8 @@ DIM = 64
 CONCEPTS = {f"label{k}": k for k in range(10)}
 FACETS = {"brand": "p_brand", "type": "p_type", "size": "p_size"}
 FRACTIONS = (0.05, 0.1, 0.2, 0.4)
-QUERY_IDS = tuple(range(10))
+#: The queries of searches: those of the fixed SQL, and the whole set, which the names with _all and those without SQL take.
+FIXED, WHOLE = "vec_id < 10", "vec_id % 20 = 0"
 
 
 def items(spark: SparkSession, sf: str) -> DataFrame:
@@ -202,14 +203,13 @@ def early_exit_topk(spark, sf):
 # -- dense search, filters, gates -----------------------------------------------------------------------------------
 
 
-def _dense(spark, sf, ids=QUERY_IDS, keep=()):
-    rows = items(spark, sf)
-    return S.dense_scores(rows, S.query_vectors(rows, ids), keep=keep)
+def _queries(spark, sf, which: str) -> DataFrame:
+    """(query_id, vector, want) of the items that are queries."""
+    return items(spark, sf).where(which).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"), F.col("label").alias("want"))
 
 
-def dense_topk(spark, sf):
-    scores = _dense(spark, sf).where("vec_id <> query_id")
-    return S.ranked(scores, ["query_id"], "dense", "vec_id", 10).select("query_id", "rank", "vec_id", r6(F.col("dense")).alias("dense"))
+def dense_topk(spark, sf, which=FIXED):
+    return S.nearest(items(spark, sf), _queries(spark, sf, which), 10, own=False).select("query_id", "rank", "vec_id", r6(F.col("dense")).alias("dense"))
 
 
 def dense_pool_exact_filter(spark, sf):
@@ -235,25 +235,35 @@ def gate_table(spark, sf):
     return gates.select("gate_index", "fraction", r6(F.col("gate")).alias("gate"), "eligible", r6(F.col("eligible_fraction")).alias("eligible_fraction"))
 
 
-def _dense_semantic(spark, sf) -> tuple[DataFrame, dict[float, float], int]:
+def _gates(spark, sf) -> tuple[DataFrame, dict[float, float], int]:
+    """The items with ``semantic``, the gates that let through a half, a fifth and a tenth, and the number of items."""
     semantic = _semantic(spark, sf)
     row = semantic.agg(F.percentile("semantic", F.array(F.lit(0.5), F.lit(0.8), F.lit(0.9))).alias("q"), F.count(F.lit(1)).alias("n")).first()
-    gates = dict(zip((0.5, 0.2, 0.1), row["q"], strict=True))
-    return _dense(spark, sf).join(semantic, "vec_id"), gates, row["n"]
+    rows = cut(items(spark, sf).join(semantic, "vec_id").select("vec_id", "embedding", "semantic"))
+    return rows, dict(zip((0.5, 0.2, 0.1), row["q"], strict=True)), row["n"]
+
+
+def _gated(rows, queries, gate: float, k: int) -> DataFrame:
+    return S.nearest(rows.where(F.col("semantic") >= N.lit(gate)), queries, k, own=False)
+
+
+def _fetched(rows, queries, ask: int) -> DataFrame:
+    return S.nearest(rows, queries, ask).drop("rank").join(rows.select("vec_id", "semantic"), "vec_id")
 
 
-def gated_truth_topk(spark, sf):
-    scores, gates, _ = _dense_semantic(spark, sf)
-    return S.gated_truth(scores, gates[0.2], 10).select("query_id", "rank", "vec_id", r6(F.col("dense")).alias("dense"))
+def gated_truth_topk(spark, sf, which=FIXED):
+    rows, gates, _ = _gates(spark, sf)
+    return _gated(rows, _queries(spark, sf, which), gates[0.2], 10).select("query_id", "rank", "vec_id", r6(F.col("dense")).alias("dense"))
 
 
-def overfetch_recall(spark, sf):
-    scores, gates, n = _dense_semantic(spark, sf)
-    queries = spark.createDataFrame([(q,) for q in QUERY_IDS], "query_id bigint")
-    truth = S.gated_truth(scores, gates[0.2], 10)
+def overfetch_recall(spark, sf, which=FIXED):
+    rows, gates, n = _gates(spark, sf)
+    queries = _queries(spark, sf, which)
+    truth = cut(_gated(rows, queries, gates[0.2], 10))
+    fetched = cut(_fetched(rows, queries, S.ask_size(0.2, 10, 2.0, n)))
     out = None
     for m in (0.5, 1.0, 2.0):
-        found = S.recall(S.over_fetch(scores, gates[0.2], 0.2, 10, m, n), truth, queries).withColumn("multiplier", F.lit(m))
+        found = S.recall(S.over_fetch(fetched, gates[0.2], 0.2, 10, m, n), truth, queries).withColumn("multiplier", F.lit(m))
         out = found if out is None else out.unionByName(found)
     return out.select("query_id", "multiplier", "hits", "n_truth", r6(F.col("recall")).alias("recall"))
 
@@ -264,6 +274,13 @@ def label_threshold(spark, sf):
     return T.quantile_labels(scored, "score", F.col("vec_id") % 2 == 0, 0.4).select("vec_id", "label")
 
 
+def label_threshold_all(spark, sf):
+    """Labels of all items for each query, by a threshold fitted on all items."""
+    scored = cut(S.all_scores(items(spark, sf), _queries(spark, sf, WHOLE)))
+    limits = scored.groupBy("query_id").agg(F.percentile("dense", 0.6).alias("limit"))
+    return scored.join(F.broadcast(limits), "query_id").select("query_id", "vec_id", (F.col("dense") >= F.col("limit")).cast("int").alias("label"))
+
+
 # -- quantisers -----------------------------------------------------------------------------------------------------
 
 
@@ -382,83 +399,72 @@ def bitmask_predicate(spark, sf):
 METHODS = ("dense", "linear", "oracle", "program")
 
 
-def _evaluation(spark, sf) -> DataFrame:
+def _evaluation(spark, sf, which) -> DataFrame:
     """(method, query_id, vec_id, score, t) over each query's dense pool of 200; the query's label is the truth."""
     rows = items(spark, sf)
-    labels = {r["vec_id"]: r["label"] for r in rows.where(F.col("vec_id").isin(list(QUERY_IDS))).select("vec_id", "label").collect()}
+    queries = _queries(spark, sf, which)
     enc, programs = compiled(spark, sf)
     all_heads = {h.name: h for h in heads(spark, sf)}
     codes = rows.select("*", *[c.alias(n) for n, c in E.code_columns(enc).items()])
-    names = sorted({f"label{k}" for k in labels.values()})
-    codes = codes.select("vec_id", "label", "embedding", *[programs[n].raw().alias(f"program_{n}") for n in names], *[P.exact_linear(all_heads[n]).alias(f"linear_{n}") for n in names])
-    keep = ["label", *[f"{m}_{n}" for m in ("program", "linear") for n in names]]
-    dense = S.dense_scores(codes, S.query_vectors(rows, QUERY_IDS), keep=keep)
-    pool = S.ranked(dense.where("vec_id <> query_id"), ["query_id"], "dense", "vec_id", 200)
-    mine = F.create_map(*[F.lit(x) for q, k in labels.items() for x in (q, k)])
-    pool = pool.withColumn("want", F.element_at(mine, F.col("query_id").cast("int")))
-
-    def pick(method: str):
-        out = F.lit(None).cast("double")
-        for n in names:
-            out = F.when(F.col("want") == int(n[5:]), F.col(f"{method}_{n}")).otherwise(out)
-        return out
-
+    codes = codes.select("vec_id", "label", F.array(*[programs[n].raw() for n in CONCEPTS]).alias("program"), F.array(*[P.exact_linear(all_heads[n]) for n in CONCEPTS]).alias("linear"))
+    pool = S.nearest(rows, queries, 200, own=False).join(codes, "vec_id").join(queries.select("query_id", "want"), "query_id")
     truth = (F.col("label") == F.col("want")).cast("int")
-    scores = {"dense": F.col("dense"), "linear": pick("linear"), "oracle": truth.cast("double"), "program": pick("program")}
+    scores = {"dense": F.col("dense"), "oracle": truth.cast("double"), **{m: F.get(m, F.col("want").cast("int")) for m in ("linear", "program")}}
     each = F.explode(F.array(*[F.struct(F.lit(m).alias("method"), F.round(s, 9).alias("score")) for m, s in scores.items()]))
     return pool.select("query_id", "vec_id", truth.alias("t"), each.alias("s")).select("s.method", "query_id", "vec_id", "s.score", "t")
 
 
-def _per_query(spark, sf) -> DataFrame:
-    return V.retention_curve(_evaluation(spark, sf), ["method", "query_id"], "score", "vec_id", "t", FRACTIONS)
+def _per_query(spark, sf, which) -> DataFrame:
+    return V.retention_curve(_evaluation(spark, sf, which), ["method", "query_id"], "score", "vec_id", "t", FRACTIONS)
 
 
-def ranking_stats_by_retention(spark, sf):
+def ranking_stats_by_retention(spark, sf, which=FIXED):
     stats = ("recall", "purity", "max_recall", "recall_efficiency")
-    return _per_query(spark, sf).select("method", "query_id", "retention", "pool_size", "k", "hits", "total_true", *[r6(F.col(c)).alias(c) for c in stats])
+    return _per_query(spark, sf, which).select("method", "query_id", "retention", "pool_size", "k", "hits", "total_true", *[r6(F.col(c)).alias(c) for c in stats])
 
 
 def _rounded_groups(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     return rows.select(*keys, "n", *[r6(F.col(c)).alias(c) for c in columns])
 
 
-def group_summary(spark, sf):
-    found = V.group_summary(_per_query(spark, sf), ["method", "retention"], "recall")
+def group_summary(spark, sf, which=FIXED):
+    found = V.group_summary(_per_query(spark, sf, which), ["method", "retention"], "recall")
     return _rounded_groups(found, ["method", "retention"], ["mean", "sd", "median", "p95"])
 
 
-def pivot_methods(spark, sf):
-    wide = V.pivot_methods(_per_query(spark, sf), ["query_id", "retention"], "recall", METHODS)
+def pivot_methods(spark, sf, which=FIXED):
+    wide = V.pivot_methods(_per_query(spark, sf, which), ["query_id", "retention"], "recall", METHODS)
     return wide.select("query_id", "retention", *[r6(F.col(m)).alias(m) for m in METHODS])
 
 
-def paired_delta(spark, sf):
-    delta = V.paired_delta(_per_query(spark, sf), ["query_id", "retention"], "recall", "dense")
+def paired_delta(spark, sf, which=FIXED):
+    delta = V.paired_delta(_per_query(spark, sf, which), ["query_id", "retention"], "recall", "dense")
     return delta.select("query_id", "retention", "method", r6(F.col("delta")).alias("delta"))
 
 
-def prevalence_depth(spark, sf):
-    rows = _per_query(spark, sf).where("retention = 0.2").withColumns({"prevalence": F.col("total_true") / F.col("pool_size"), "depth": F.lit(1)})
+def prevalence_depth(spark, sf, which=FIXED):
+    rows = cut(_per_query(spark, sf, which)).where("retention = 0.2").withColumns({"prevalence": F.col("total_true") / F.col("pool_size"), "depth": F.lit(1)})
     found = V.prevalence_depth(rows, ("program", "dense"), ["query_id"], "recall", "prevalence", "depth")
     return found.select("quartile", "depth", "n", r6(F.col("mean")).alias("mean"), r6(F.col("sd")).alias("sd"))
 
 
 def bootstrap_ci(spark, sf):
-    return V.bootstrap_ci(_per_query(spark, sf), ["method", "retention"], "recall", n_boot=500)
+    return V.bootstrap_ci(_per_query(spark, sf, WHOLE), ["method", "retention"], "recall", n_boot=500)
 
 
 def matched_frontier(spark, sf):
     """For each gate, the smallest multiplier whose recall is near that of the exact search."""
-    scores, gates, n = _dense_semantic(spark, sf)
-    scores = cut(scores)
-    queries = spark.createDataFrame([(q,) for q in QUERY_IDS], "query_id bigint")
-    rows = []
+    rows, gates, n = _gates(spark, sf)
+    queries = _queries(spark, sf, WHOLE)
+    multipliers = (0.5, 1.0, 2.0, 4.0)
+    fetched = cut(_fetched(rows, queries, max(S.ask_size(f, 10, m, n) for f in gates for m in multipliers)))
+    found = []
     for fraction, gate in gates.items():
-        truth = cut(S.gated_truth(scores, gate, 10))
-        for m in (0.5, 1.0, 2.0, 4.0):
-            found = S.recall(S.over_fetch(scores, gate, fraction, 10, m, n), truth, queries).agg(F.avg("recall")).first()[0]
-            rows.append((fraction, m, round(found, 9), 1.0))
-    rows = spark.createDataFrame(rows, "fraction double, cost double, recall double, live_recall double")
+        truth = cut(_gated(rows, queries, gate, 10))
+        for m in multipliers:
+            recall = S.recall(S.over_fetch(fetched, gate, fraction, 10, m, n), truth, queries).agg(F.avg("recall")).first()[0]
+            found.append((fraction, m, round(recall, 9), 1.0))
+    rows = spark.createDataFrame(found, "fraction double, cost double, recall double, live_recall double")
     best = V.matched_frontier(rows, ["fraction"])
     return best.select("fraction", F.col("cost").alias("multiplier"), r6(F.col("recall")).alias("recall"), "matched")
 
@@ -565,7 +571,7 @@ def tiled_codes(spark, sf):
 
 def set_operations(spark, sf):
     """Union, intersection and difference of two dense results, as bags and as sets."""
-    scores = _dense(spark, sf, (0, 1))
+    scores = S.dense_scores(items(spark, sf), S.query_vectors(items(spark, sf), (0, 1)))
     a = S.ranked(scores.where("query_id = 0"), ["query_id"], "dense", "vec_id", 100).select("vec_id")
     b = S.ranked(scores.where("query_id = 1"), ["query_id"], "dense", "vec_id", 100).select("vec_id")
     parts = {"union_all": a.unionAll(b), "union": a.union(b).distinct(), "intersect": a.intersect(b), "except": a.exceptAll(b)}
@@ -576,11 +582,12 @@ def set_operations(spark, sf):
     return out
 
 
-def result_parity(spark, sf):
+def result_parity(spark, sf, which=FIXED):
     """Whether two plans give the same items for each query: the gate before, and after the dense order."""
-    scores, gates, n = _dense_semantic(spark, sf)
-    live = S.gated_truth(scores, gates[0.2], 10)
-    after = S.over_fetch(scores, gates[0.2], 0.2, 10, 100.0, n)
+    rows, gates, n = _gates(spark, sf)
+    queries = _queries(spark, sf, which)
+    live = _gated(rows, queries, gates[0.2], 10)
+    after = S.over_fetch(_fetched(rows, queries, S.ask_size(0.2, 10, 100.0, n)), gates[0.2], 0.2, 10, 100.0, n)
     return G.same_ids(live, after)
 
 
@@ -598,7 +605,7 @@ def graph_search(spark, sf):
     rows = items(spark, sf).join(semantic, "vec_id").select("vec_id", "embedding", "semantic")
     gate = semantic.agg(F.percentile("semantic", 0.8).alias("g")).first()["g"]
     edges = G.knn_graph(rows, 16)
-    queries = rows.where(F.col("vec_id") < 20).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    queries = _queries(spark, sf, WHOLE)
     return G.filtered_search(rows, edges, queries, gate, k=10, ef=128)
 
 
@@ -642,3 +649,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 QUERIES["semantic_topk_negated"] = partial(semantic_topk, positive=(), negative=("label7", "label2"))
 QUERIES["pair_lut"] = partial(boosted_lut, pairs=3)
+QUERIES["label_threshold_all"] = label_threshold_all
+for _f in (dense_topk, gated_truth_topk, overfetch_recall, ranking_stats_by_retention, group_summary, pivot_methods, paired_delta, prevalence_depth, result_parity):
+    QUERIES[f"{_f.__name__}_all"] = partial(_f, which=WHOLE)
