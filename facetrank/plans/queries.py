@@ -497,6 +497,26 @@ def geometry_corr(spark, sf):
     return met.select(exact.alias("x"), E.hamming_agreement(2, DIM).alias("y")).agg(F.count(F.lit(1)).alias("n"), r6(F.corr("x", "y")).alias("corr"))
 
 
+def _ordinals(spark, sf) -> tuple[DataFrame, int]:
+    """(ordinal, vec_id): the places from 0 of all items in order of id, and their number."""
+    ids = items(spark, sf).select("vec_id")
+    placed = ids.orderBy("vec_id").rdd.zipWithIndex().map(lambda r: (r[1], r[0][0]))
+    return spark.createDataFrame(placed, "ordinal bigint, vec_id bigint"), ids.count()
+
+
+def geometry_corr_all(spark, sf):
+    """The same over pairs drawn from all items: each is the first of a pair, 20,000 pairs at least."""
+    places, n = _ordinals(spark, sf)
+    places = cut(places)
+    codes = items(spark, sf).select("vec_id", "embedding", *[c.alias(k) for k, c in E.code_columns(encoder(spark, sf)).items()]).join(places, "vec_id")
+    mixed = (F.col("id") * 48271 + 11) % 2147483647
+    pairs = spark.range(max(20_000, n)).select((F.col("id") % n).alias("i"), (mixed * mixed % 2147483647 % n).alias("j")).where("i <> j")
+    a, b = codes.alias("a"), codes.alias("b")
+    met = pairs.join(a, F.col("i") == F.col("a.ordinal")).join(b, F.col("j") == F.col("b.ordinal"))
+    exact = N.dot_columns(F.col("a.embedding"), F.col("b.embedding"))
+    return met.select(exact.alias("x"), E.hamming_agreement(2, DIM).alias("y")).agg(F.count(F.lit(1)).alias("n"), r6(F.corr("x", "y")).alias("corr"))
+
+
 def latency_stats(spark, sf):
     return V.latency_stats(table(spark, sf, "events"), ["event_type"], "value").select("event_type", "n", r6(F.col("median")).alias("median"), r6(F.col("p95")).alias("p95"))
 
@@ -649,6 +669,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 QUERIES["semantic_topk_negated"] = partial(semantic_topk, positive=(), negative=("label7", "label2"))
 QUERIES["pair_lut"] = partial(boosted_lut, pairs=3)
+QUERIES["geometry_corr_all"] = geometry_corr_all
 QUERIES["label_threshold_all"] = label_threshold_all
 for _f in (dense_topk, gated_truth_topk, overfetch_recall, ranking_stats_by_retention, group_summary, pivot_methods, paired_delta, prevalence_depth, result_parity):
     QUERIES[f"{_f.__name__}_all"] = partial(_f, which=WHOLE)

@@ -46,3 +46,17 @@ def test_dense_topk_takes_every_query(spark):
 def test_queries_without_sql_take_every_query(spark, name):
     rows = QUERIES[name](spark, LARGE)
     assert rows.agg({"n": "max"}).first()[0] == 100 if name == "bootstrap_ci" else rows.select("query_id").distinct().count() == 100
+
+
+def test_geometry_pairs_name_every_item(spark):
+    """20,000 pairs less those of an item with itself, and the correlation of a NumPy version."""
+    _, x = embeddings()
+    i = np.arange(20_000, dtype=np.int64)
+    mixed = (i * 48271 + 11) % 2147483647
+    a, b = i % len(x), mixed * mixed % 2147483647 % len(x)
+    a, b = a[a != b], b[a != b]
+    assert len(set(a)) == len(x) and len(set(zip(a, b, strict=True))) > 19_000
+    bits = x - x.mean(axis=0) > 0
+    row = QUERIES["geometry_corr_all"](spark, LARGE).first()
+    assert row["n"] == len(a)
+    assert abs(row["corr"] - np.corrcoef((x[a] * x[b]).sum(axis=1), (bits[a] == bits[b]).mean(axis=1))[0, 1]) < 1e-5
