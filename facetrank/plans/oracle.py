@@ -205,3 +205,5 @@ PLACES = "(SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS ordinal, co
 ORACLE["geometry_corr_all"] = with_parts(
     f"SELECT count(*) AS n, {r6('corr(d, h)', 'corr')} FROM (SELECT list_dot_product(ea.embedding::DOUBLE[], eb.embedding::DOUBLE[]) AS d, 1 - (bit_count(xor(a.w0, b.w0))::BIGINT + bit_count(xor(a.w1, b.w1))::BIGINT) / 64 AS h FROM (SELECT t.i % n_all AS i, ((t.i * 48271 + 11) % 2147483647) * ((t.i * 48271 + 11) % 2147483647) % 2147483647 % n_all AS j FROM (SELECT count(*) AS n_all, unnest(range(greatest(20000, count(*)))) AS i FROM embeddings) t) p JOIN {PLACES} pa ON pa.ordinal = p.i JOIN {PLACES} pb ON pb.ordinal = p.j JOIN codes a ON a.vec_id = pa.vec_id JOIN codes b ON b.vec_id = pb.vec_id JOIN embeddings ea ON ea.vec_id = pa.vec_id JOIN embeddings eb ON eb.vec_id = pb.vec_id WHERE p.i <> p.j)"
 )
+ORACLE["candidate_scores_all"] = with_parts(f"SELECT i AS pos, vec_id, {r6(lsig('l1') + ' + ' + lsig('l2'), 'score')} FROM {PLACES} JOIN (SELECT unnest(range(3 * count(*))) AS i FROM embeddings) ON ordinal = i % n_all JOIN ({RAW_WIDE}) USING (vec_id)")
+ORACLE["tiled_codes_all"] = with_parts(f"SELECT i AS tile_id, vec_id, w0, pop FROM {PLACES} JOIN (SELECT unnest(range(count(*) * 13 // 5)) AS i FROM embeddings) ON ordinal = i % n_all JOIN codes USING (vec_id)")

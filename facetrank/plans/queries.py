@@ -517,6 +517,22 @@ def geometry_corr_all(spark, sf):
     return met.select(exact.alias("x"), E.hamming_agreement(2, DIM).alias("y")).agg(F.count(F.lit(1)).alias("n"), r6(F.corr("x", "y")).alias("corr"))
 
 
+def candidate_scores_all(spark, sf):
+    """A bag that names every item three times."""
+    enc, programs = compiled(spark, sf)
+    places, n = _ordinals(spark, sf)
+    bag = spark.range(3 * n).select(F.col("id").alias("pos"), (F.col("id") % n).alias("ordinal")).join(places, "ordinal").select("pos", "vec_id")
+    scored = SemanticExecutor(coded(spark, sf, enc), enc, programs).score_candidates(bag, ("label1", "label2"))
+    return scored.select("pos", "vec_id", r6(F.col("score")).alias("score"))
+
+
+def tiled_codes_all(spark, sf):
+    """All items' codes, 2.6 times over."""
+    places, n = _ordinals(spark, sf)
+    codes = coded(spark, sf, encoder(spark, sf)).join(places, "vec_id").select("ordinal", "vec_id", "w0", "pop")
+    return S.tile(codes, "ordinal", n, n * 13 // 5).select("tile_id", "vec_id", "w0", "pop")
+
+
 def latency_stats(spark, sf):
     return V.latency_stats(table(spark, sf, "events"), ["event_type"], "value").select("event_type", "n", r6(F.col("median")).alias("median"), r6(F.col("p95")).alias("p95"))
 
@@ -669,6 +685,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 QUERIES["semantic_topk_negated"] = partial(semantic_topk, positive=(), negative=("label7", "label2"))
 QUERIES["pair_lut"] = partial(boosted_lut, pairs=3)
+QUERIES["candidate_scores_all"] = candidate_scores_all
+QUERIES["tiled_codes_all"] = tiled_codes_all
 QUERIES["geometry_corr_all"] = geometry_corr_all
 QUERIES["label_threshold_all"] = label_threshold_all
 for _f in (dense_topk, gated_truth_topk, overfetch_recall, ranking_stats_by_retention, group_summary, pivot_methods, paired_delta, prevalence_depth, result_parity):

@@ -60,3 +60,10 @@ def test_geometry_pairs_name_every_item(spark):
     row = QUERIES["geometry_corr_all"](spark, LARGE).first()
     assert row["n"] == len(a)
     assert abs(row["corr"] - np.corrcoef((x[a] * x[b]).sum(axis=1), (bits[a] == bits[b]).mean(axis=1))[0, 1]) < 1e-5
+
+
+@pytest.mark.parametrize(("name", "n"), [("candidate_scores_all", 6000), ("tiled_codes_all", 5200)])
+def test_bags_name_every_item(spark, name, n):
+    ids, _ = embeddings()
+    rows = QUERIES[name](spark, LARGE).select("vec_id").collect()
+    assert len(rows) == n and {r["vec_id"] for r in rows} == set(ids.tolist())
