@@ -47,6 +47,12 @@ SERVICE_RULES = (
     Rule("stripe", r"sk_live_[A-Za-z0-9]{16,}"),
 )
 RULES = BASE_RULES + SERVICE_RULES
+#: What follows the header of a key: all up to its END line, or, where that is missing, the lines of base64 (line ends may
+#: be written as backslashes and letters). Everything is bounded or possessive.
+PEM_TO_END = r"[^-]{0,20000}+(?:-{1,4}[^-]{1,20000}+){0,8}+-----END [A-Z ]{0,20}PRIVATE KEY-----"
+PEM_BODY = r"(?:\s{1,4}(?:Proc-Type|DEK-Info): [^\r\n]{0,100}){0,2}(?:(?:\\[rn]|\s){0,8}+[A-Za-z0-9+/=]{16,}+){1,400}+(?:[\r\n]{1,2}[A-Za-z0-9+/=]{1,15}(?![^\r\n]))?"
+#: The rules of redaction: a private key goes with its header. Scans report the header, as their SQL does.
+REDACT_RULES = tuple(Rule(r.kind, f"{r.pattern}(?:{PEM_TO_END}|{PEM_BODY})?") if r.kind == "pem" else r for r in RULES)
 REDACTED = "[REDACTED]"
 #: Strings that a part of an expression may stand for before the derivation gives up on it.
 MAX_STRINGS = 64
@@ -190,7 +196,7 @@ def secret_report(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     return found.select("doc_id", *counts, F.sha2(joined(base, rules), 256).alias("base_sha256"), joined(F.col("secret_spans"), rules).alias("spans"))
 
 
-def redact(docs: DataFrame, *, rules: tuple[Rule, ...] = RULES, mark: str = REDACTED) -> DataFrame:
+def redact(docs: DataFrame, *, rules: tuple[Rule, ...] = REDACT_RULES, mark: str = REDACTED) -> DataFrame:
     """``docs`` (with doc_id and text) with each secret replaced by ``mark``; overlapping secrets are one."""
 
     def step(acc: Column, x: Column) -> Column:
