@@ -24,12 +24,14 @@ QUERY_BLOCK = 1024
 def dense_scores(items: DataFrame, queries: Mapping[int, Sequence[float]], embedding: str = "embedding", item_id: str = "vec_id", keep: Sequence[str] = ()) -> DataFrame:
     """(query_id, item_id, keep..., dense) of a stated, bounded set of query vectors against all items.
 
-    The vectors are literals of one projection of the items: nothing is joined or shuffled.
+    The vectors are literals of one projection of the items for each block: nothing is joined or shuffled.
     """
-    if len(queries) > QUERY_BLOCK:
-        raise ValueError(f"at most {QUERY_BLOCK} queries at once; use blocks")
-    scored = F.array(*[F.struct(F.lit(q).cast("bigint").alias("query_id"), dot(embedding, v).alias("dense")) for q, v in queries.items()])
-    return items.select(item_id, *keep, F.explode(scored).alias("s")).select("s.query_id", item_id, *keep, "s.dense")
+    every, out = list(queries.items()), None
+    for at in range(0, max(len(every), 1), QUERY_BLOCK):
+        scored = F.array(*[F.struct(F.lit(q).cast("bigint").alias("query_id"), dot(embedding, v).alias("dense")) for q, v in every[at : at + QUERY_BLOCK]])
+        part = items.select(item_id, *keep, F.explode(scored).alias("s")).select("s.query_id", item_id, *keep, "s.dense")
+        out = part if out is None else out.unionAll(part)
+    return out
 
 
 #: Items that meet a block of queries at once, and places (queries times k) that a task keeps.

@@ -640,8 +640,12 @@ def graph_search(spark, sf):
     semantic = _semantic(spark, sf)
     rows = items(spark, sf).join(semantic, "vec_id").select("vec_id", "embedding", "semantic")
     gate = semantic.agg(F.percentile("semantic", 0.8).alias("g")).first()["g"]
-    edges = G.knn_graph(rows, 16)
     queries = _queries(spark, sf, WHOLE)
+    if G.too_large(rows, 0):
+        return G.exact_search(cut(rows), queries, gate, k=10)
+    edges = cut(G.knn_graph(rows, 16))
+    if G.too_large(rows, edges.count()):
+        return G.exact_search(cut(rows), queries, gate, k=10)
     return G.filtered_search(rows, edges, queries, gate, k=10, ef=128)
 
 

@@ -4,6 +4,7 @@ import duckdb
 import numpy as np
 import pytest
 
+from facetrank.operators import graph as G
 from facetrank.operators import search as S
 from facetrank.plans.queries import QUERIES
 
@@ -67,3 +68,20 @@ def test_bags_name_every_item(spark, name, n):
     ids, _ = embeddings()
     rows = QUERIES[name](spark, LARGE).select("vec_id").collect()
     assert len(rows) == n and {r["vec_id"] for r in rows} == set(ids.tolist())
+
+
+def test_graph_search_beyond_its_bound(spark, monkeypatch):
+    """No error, and the exact gated top-k, of which the beam finds nearly all."""
+    small = "/root/testdata/sf0.01"
+    beam = {(r["query_id"], r["vec_id"]) for r in QUERIES["graph_search"](spark, small).collect()}
+    monkeypatch.setattr(G, "GRAPH_BYTES", 1000)
+    exact = {(r["query_id"], r["vec_id"]) for r in QUERIES["graph_search"](spark, small).collect()}
+    truth = {(r["query_id"], r["vec_id"]) for r in QUERIES["gated_truth_topk_all"](spark, small).collect()}
+    assert exact == truth and len(exact) == 250 and len(beam & exact) > 0.9 * 250
+
+
+def test_dense_scores_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(S, "QUERY_BLOCK", 2)
+    items = spark.createDataFrame([(0, [1.0, 2.0]), (1, [3.0, -1.0])], "vec_id bigint, embedding array<double>")
+    found = S.dense_scores(items, {q: [float(q), 1.0] for q in range(5)}).collect()
+    assert sorted((r["query_id"], r["vec_id"], r["dense"]) for r in found) == sorted((q, i, s) for q in range(5) for i, s in ((0, q + 2.0), (1, 3.0 * q - 1)))
