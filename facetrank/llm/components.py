@@ -14,7 +14,7 @@ def _neighbour_minimum(edges: DataFrame) -> DataFrame:
     A node with very many links is summed on the map side, and the join that follows can be split by Spark.
     """
     least = edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return edges.join(least, "u")
+    return edges.join(least.hint("merge"), "u")
 
 
 def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:

@@ -5,10 +5,12 @@ Signatures are split into chunks; by pigeonhole, two signatures that differ in f
 positions agree in some chunk up to ``errors`` positions, so listing each chunk with every choice of ``errors``
 positions left out finds every pair below that distance. Pairs are confirmed on the full shingle sets.
 
-How hot groups are kept flat: documents with the same set are one class and join once; in each bucket members are
-linked with one centre (a star, not all pairs), and only where a bucket still spans several components are members
-outside the centre's component compared with the rest, in pairs of small blocks that only confirmed links leave. Other
-links are confirmed in joins that Spark can split, and components come from an iterative join.
+How hot groups are kept flat: documents with the same set are one class and join once. Buckets are worked off in rounds.
+In each round a bucket has one centre, drawn at random, which meets the members of other components; then it leaves the
+bucket, as all its pairs are decided, and links of all buckets are joined into components. A bucket whose members are in
+one component is closed: pairs within a component change nothing. So a round has at most one pair per member, and a
+group of near copies closes after a few. What stays open once rounds no longer help (documents that are somewhat alike
+but not linked) is compared in blocks of a fixed size, which hand on one link for each two components.
 
 Defined cases: null and blank texts have the empty set and are linked with nothing; fewer words than a shingle give one
 shingle of them all; repeated rows are copies; rows with one id are one node; a null id is linked with nothing; an
@@ -18,12 +20,15 @@ empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
 from facetrank.llm import text as K
 from facetrank.llm.components import components
@@ -32,9 +37,27 @@ from facetrank.sources.session import cut, prepare
 POSITIONS = 96
 CHUNK = 6
 ERRORS = 1
-#: Pairs at a greater signature distance aren't confirmed. At a similarity of 0.8 one pair in 10**6 is further apart.
-MAX_DISTANCE = 40
 SALTS = 16
+#: Rounds of centres at most, and the share of open members that a round must close for another to follow.
+ROUNDS, LEAST_CLOSED = 12, 0.15
+#: Members of a block in the comparison of what rounds leave open.
+BLOCK = 512
+#: Share of pairs at the least similarity that may be further apart than the signature distance up to which pairs are
+#: confirmed; the index itself leaves out 4e-8 of them.
+FAR = 1e-10
+
+
+def distance_limit(positions: int, percent: int) -> int:
+    """The least distance that a share below ``FAR`` of pairs of that similarity exceeds (each position differs with
+    probability 1 - similarity, so the tail of a binomial distribution)."""
+    p = 1 - percent / 100
+    tail, limit = 0.0, positions
+    while limit > 0:
+        tail += comb(positions, limit) * p**limit * (1 - p) ** (positions - limit)
+        if tail >= FAR:
+            break
+        limit -= 1
+    return limit
 
 
 def _coefficients(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -142,18 +165,19 @@ def chunk_keys(reps: DataFrame, positions: int, chunk: int, errors: int) -> Data
     return reps.select("id", "sig").mapInArrow(run, "key bigint, id bigint")
 
 
-def near_enough(pairs: DataFrame, reps: DataFrame, positions: int, percent: int, max_distance: int) -> DataFrame:
+def near_enough(pairs: DataFrame, reps: DataFrame, positions: int, percent: int) -> DataFrame:
     """Pairs (u, v) whose sizes and signatures allow the similarity."""
+    most = distance_limit(positions, percent)
     one = reps.select(F.col("id").alias("u"), F.col("n_shingles").alias("nu"), F.col("sig").alias("su"))
     two = reps.select(F.col("id").alias("v"), F.col("n_shingles").alias("nv"), F.col("sig").alias("sv"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             far = (_matrix(batch.column("su"), positions) != _matrix(batch.column("sv"), positions)).sum(axis=1)
-            yield batch.select(["u", "v"]).filter(pa.array(far <= max_distance))
+            yield batch.select(["u", "v"]).filter(pa.array(far <= most))
 
     sized = F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * percent
-    return pairs.join(one, "u").join(two, "v").where(sized).select("u", "v", "su", "sv").mapInArrow(run, "u bigint, v bigint")
+    return pairs.join(one.hint("merge"), "u").join(two.hint("merge"), "v").where(sized).select("u", "v", "su", "sv").mapInArrow(run, "u bigint, v bigint")
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
@@ -208,90 +232,128 @@ def _common(sets: list[np.ndarray], n: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def confirm_across(named: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (u, v) between components that share buckets, from ``named`` (home, id, component).
+def _bucket_members(reps: DataFrame, positions: int, chunk: int, errors: int) -> DataFrame:
+    """(key, id) of every bucket with two members or more."""
+    keys = chunk_keys(reps, positions, chunk, errors)
+    shared = keys.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("key")
+    return keys.join(shared.hint("merge"), "key")
+
+
+def _with_components(members: DataFrame, found: DataFrame | None) -> DataFrame:
+    if found is None:
+        return members.withColumn("component", F.col("id"))
+    named = members.join(found.withColumnRenamed("node", "id").hint("merge"), "id", "left")
+    return named.select("key", "id", F.coalesce("component", "id").alias("component"))
+
+
+def _open(members: DataFrame, found: DataFrame | None, number: int) -> DataFrame:
+    """(key, id, component, centre, home, size) of the buckets that span components; ``home`` is the centre's component.
+
+    The centre is the member with the least hash, another one in each round; a large component mostly provides it.
+    """
+    named = _with_components(members, found)
+    drawn = F.min(F.struct(F.xxhash64("id", F.lit(number)).alias("draw"), "id", "component")).alias("x")
+    buckets = named.groupBy("key").agg(drawn, F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size"))
+    buckets = buckets.where("low < high").select("key", F.col("x.id").alias("centre"), F.col("x.component").alias("home"), "size")
+    return named.join(buckets.hint("merge"), "key")
+
+
+def link_by_rounds(members: DataFrame, reps: DataFrame, sets: DataFrame, positions: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(components found, members of the buckets that are still open); both are cut."""
+    found, left, before = None, members, None
+    for number in range(ROUNDS):
+        now = cut(_open(left, found, number))
+        stars = now.where("component <> home").select(F.col("centre").alias("u"), F.col("id").alias("v")).distinct()
+        links = confirm(cut(near_enough(stars, reps, positions, percent)), sets, percent)
+        known = links if found is None else links.union(found.select(F.col("node").alias("u"), F.col("component").alias("v")))
+        found = cut(components(known))
+        left = now.where("id <> centre AND size > 2").select("key", "id")
+        still = left.count()  # some of these are closed by the links just found, which the next round sees
+        if not still or before is not None and still > (1 - LEAST_CLOSED) * before:
+            break
+        before = still
+    return found, cut(_open(left, found, ROUNDS).select("home", "id", "component").distinct())
+
+
+def confirm_across(named: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+    """Links (u, v) between the components of each home's members, from ``named`` (home, id, component).
 
     For each home, those outside it meet all members: both are dealt into blocks, each pair of blocks is one small
-    group, and only confirmed links leave it.
+    group, and one link for each two components leaves it.
     """
-    spark = named.sparkSession
     sizes = named.groupBy("home").agg(F.count(F.lit(1)).alias("n_all"), F.count_if(F.expr("component <> home")).alias("n_out")).where("n_out > 0")
-    per_task = named.count() // (2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    block = F.lit(max(64, min(1024, per_task)))
     # A home can hold a great part of all members: both sides are salted.
-    sizes = sizes.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    counted = named.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(sizes, ["home", "_salt"]).withColumns({"rows": F.ceil(F.col("n_all") / block).cast("int"), "columns": F.ceil(F.col("n_out") / block).cast("int")})
+    sizes = sizes.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
+    blocks = {"rows": F.ceil(F.col("n_all") / block).cast("int"), "columns": F.ceil(F.col("n_out") / block).cast("int")}
+    counted = named.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(sizes, ["home", "_salt"]).withColumns(blocks)
     every = counted.withColumns({"one": F.pmod(F.xxhash64("id"), "rows").cast("int"), "two": F.explode(F.expr("sequence(0, columns - 1)")), "outside": F.lit(False)})
     out = counted.where("component <> home").withColumns({"two": F.pmod(F.xxhash64("id"), "columns").cast("int"), "one": F.explode(F.expr("sequence(0, rows - 1)")), "outside": F.lit(True)})
     fields = ["home", "one", "two", "outside", "id", "component"]
     dealt = every.select(*fields).union(out.select(*fields)).join(sets.hint("merge"), "id").repartition("home", "one", "two")
     dealt = dealt.sortWithinPartitions("home", "one", "two", "outside").select(*fields, "hashes")
 
-    def linked(rows: list[tuple]) -> Iterator[tuple[int, int]]:
+    def linked(rows: list[tuple]) -> set[tuple[int, int]]:
         outside = [r for r in rows if r[3]]
         rest = [r for r in rows if not r[3]]
         if not outside or not rest:
-            return
+            return set()
         found = [np.frombuffer(r[6].as_buffer(), np.uint64) for r in outside + rest]
         size = np.array([len(x) for x in found])
         common = _common(found, len(outside))
         union = size[: len(outside), None] + size[None, len(outside) :] - common
-        for i, j in zip(*np.nonzero(common * 100 >= percent * union), strict=True):
-            if outside[i][5] != rest[j][5]:
-                yield outside[i][4], rest[j][4]
+        places = zip(*np.nonzero(common * 100 >= percent * union), strict=True)
+        return {(outside[i][5], rest[j][5]) for i, j in places if outside[i][5] != rest[j][5]}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         for batch in batches:
-            found: list[tuple[int, int]] = []
+            found: set[tuple[int, int]] = set()
             for row in zip(*(batch.column(c).to_pylist() for c in fields), batch.column("hashes"), strict=True):
                 if held and held[0][:3] != row[:3]:
-                    found += linked(held)
+                    found |= linked(held)
                     held = []
                 held.append(row)
             yield from links(found)
-        yield from links(list(linked(held)))
+        yield from links(linked(held))
 
-    def links(found: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+    def links(found: set[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
         if found:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["u", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*sorted(found), strict=True)], names=["u", "v"])
 
     return dealt.mapInArrow(run, "u bigint, v bigint").distinct()
 
 
 def near_duplicates(
     docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80,
-    positions: int = POSITIONS, chunk: int = CHUNK, errors: int = ERRORS, max_distance: int = MAX_DISTANCE,
+    positions: int = POSITIONS, chunk: int = CHUNK, errors: int = ERRORS,
 ) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest id reachable) and kept."""
-    docs = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    docs = docs.select(F.col(K.quoted(doc_id)).cast("bigint").alias("doc_id"), F.col(K.quoted(text)).alias("text"))
     every = cut(signatures(docs, shingle, positions))
     full = every.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = full.groupBy("d1", "d2", "n_shingles").agg(F.min(F.struct("doc_id", "sig")).alias("x"), F.count(F.lit(1)).alias("copies"))
     reps = cut(classes.select("d1", "d2", "n_shingles", "copies", F.col("x.doc_id").alias("id"), F.col("x.sig").alias("sig")))
 
-    bucket = Window.partitionBy("key")
-    members = chunk_keys(reps, positions, chunk, errors).withColumns({"centre": F.min("id").over(bucket), "last": F.max("id").over(bucket)})
-    members = cut(members.where("centre < last").select("key", "id", "centre"))
+    members = cut(_bucket_members(reps, positions, chunk, errors))
     sets = cut(full_sets(docs, members, shingle))
-    stars = members.where("id <> centre").select(F.col("centre").alias("u"), F.col("id").alias("v")).distinct()
-    links = cut(confirm(cut(near_enough(stars, reps, positions, percent, max_distance)), sets, percent))
-    found = cut(components(links))
-
-    # Buckets that still span components: who stands outside the centre's component meets the rest of the bucket.
-    named = members.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    own = found.select(F.col("node").alias("centre"), F.col("component").alias("home"))
-    named = named.join(own, "centre", "left").withColumn("home", F.coalesce("home", "centre"))
-    spans = F.bool_or(F.col("component") != F.col("home")).over(bucket)
-    named = cut(named.withColumn("open", spans).where("open").select("home", "id", "component").distinct())
-    more = cut(confirm_across(named, sets, percent))
-    if not more.isEmpty():
-        found = cut(components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more.select("u", "v"))))
+    found, still = link_by_rounds(members, reps, sets, positions, percent)
+    more = []
+    if not still.isEmpty():
+        more.append(cut(confirm_across(still, sets, percent)))
+    # An id on rows with different sets is one node: it links their classes.
+    several = full.groupBy("doc_id").agg(F.min(F.struct("d1", "d2")).alias("a"), F.max(F.struct("d1", "d2")).alias("b")).where("a <> b").select("doc_id")
+    if not several.isEmpty():
+        rows = full.join(several.hint("merge"), "doc_id", "left_semi").select("doc_id", "d1", "d2").distinct()
+        more.append(cut(rows.join(reps.hint("merge"), ["d1", "d2"]).select(F.col("doc_id").alias("u"), F.col("id").alias("v"))))
+    more = [x for x in more if not x.isEmpty()]
+    if more:
+        known = found.select(F.col("node").alias("u"), F.col("component").alias("v"))
+        found = cut(components(reduce(DataFrame.union, more, known)))
 
     # Only classes of several documents, and linked ones, need a place in the join; copies of one class are salted.
-    homes = reps.join(found.withColumnRenamed("node", "id"), "id", "left").where("copies > 1 OR component IS NOT NULL")
+    homes = reps.join(found.withColumnRenamed("node", "id").hint("merge"), "id", "left").where("copies > 1 OR component IS NOT NULL")
     homes = homes.select("d1", "d2", F.coalesce("component", "id").alias("component_id")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    out = every.drop("sig").withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(homes, ["d1", "d2", "_salt"], "left")
+    out = every.drop("sig").withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(homes.hint("merge"), ["d1", "d2", "_salt"], "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
@@ -299,15 +361,19 @@ def near_duplicates(
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` (with doc_id and text) without near-duplicates: of each group, the smallest id stays once.
 
-    Rows with a null id are linked with nothing and stay.
+    Rows with a null id are linked with nothing and stay. Of several rows with the smallest id one stays, the first by
+    all columns that have an order. Columns stay as they are, whatever their names.
     """
+    columns = [F.col(K.quoted(c)) for c in docs.columns]
     judged = cut(near_duplicates(docs, **options).select("doc_id", "kept"))
     gone = judged.where("NOT kept").select("doc_id").distinct()
     out = docs.join(gone.hint("merge"), "doc_id", "left_anti")
     again = judged.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if again.isEmpty():
-        return out.select(*docs.columns)
+        return out.select(*columns)
     again = cut(again)
-    first = Window.partitionBy("doc_id").orderBy(*[F.col(f"`{c}`") for c in docs.columns if c != "doc_id"])
-    once = out.join(again, "doc_id", "left_semi").withColumn("_row", F.row_number().over(first)).where("_row = 1").select(*docs.columns)
-    return out.join(again, "doc_id", "left_anti").select(*docs.columns).union(once)
+    place = K.unused("row", docs.columns)
+    ordered = [F.col(K.quoted(f.name)) for f in docs.schema if f.name != "doc_id" and not isinstance(f.dataType, MapType | VariantType)]
+    first = Window.partitionBy("doc_id").orderBy(*ordered or ["doc_id"])
+    once = out.join(again.hint("merge"), "doc_id", "left_semi").withColumn(place, F.row_number().over(first)).where(F.col(place) == 1)
+    return out.join(again.hint("merge"), "doc_id", "left_anti").select(*columns).union(once.select(*columns))
