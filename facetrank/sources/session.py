@@ -10,6 +10,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_OWN: set[str] = set()
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
@@ -27,26 +28,45 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or a folder of our own where it is unset."""
+    """The folder that all executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset and everything runs on one machine, it is a temporary folder there; a cluster must name one.
+    """
+    sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        sc = spark.sparkContext
         current = sc._jsc.sc().getCheckpointDir()
         folder = current.get() if current.isDefined() else None
-        if not folder:
-            folder = "file://" + tempfile.mkdtemp(prefix="facetrank-")
-            sc.setCheckpointDir(folder)
+    if not folder:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="facetrank-")
+        sc.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
+def _own_folder(spark: SparkSession) -> str:
+    """This application's part of the shared folder, which goes when the driver ends."""
+    folder = f"{shared_folder(spark)}/facetrank/{spark.sparkContext.applicationId}"
+    if folder not in _OWN:
+        jvm = spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _OWN.add(folder)
+    return folder
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     This ends the lineage: a lost executor costs only the tasks that read the files again, and no stage before it is
-    run twice. Column pruning works on what is read back. Files go with the session's shared folder.
+    run twice. Column pruning works on what is read back. Results may be read for as long as the application runs, so
+    files stay until it ends.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/facetrank/{uuid.uuid4().hex}"
+    path = f"{_own_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -56,6 +76,7 @@ def clear(spark: SparkSession) -> None:
     folder = shared_folder(spark)
     if folder.startswith("file://"):
         shutil.rmtree(folder.removeprefix("file://") + "/facetrank", ignore_errors=True)
+        _OWN.clear()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
