@@ -3,7 +3,8 @@
 A byte goes if some string of ``length`` bytes that covers it also starts anywhere else. Strings (windows) are dealt by
 the smallest hash of their 32-byte grams: equal windows have the same one, and neighbouring windows mostly share it, so
 that a document becomes a few runs of windows, each a segment of its bytes. A hash that occurs once can't hold a repeat,
-and its segments end there; no bytes are moved for them. Segments with the same bytes count as one with a weight.
+and its segments end there; no bytes are moved for them. Segments with the same bytes (by a cryptographic hash, so that no
+pattern can make different ones look the same) count as one with a weight, and are repeats as they stand.
 
 What is left is gathered by hash into batches of bounded size. In each, the transform of the segments is built, and the
 longest common prefixes of neighbouring suffixes are derived by increasing value: each boundary found at one value is
@@ -11,8 +12,11 @@ extended backward by the characters around it, breadth first, and gives the boun
 stops at ``length``; rows that no boundary parts by then start with the same ``length`` bytes. When an interval is
 split, all parts but the largest are visited, so the work is n log n in the worst case.
 
-A hash with very many different segments (the edges of a passage that is in a great part of all documents) isn't
-gathered in a batch: its windows are counted by their own 128-bit hash, with sums made before the shuffle.
+A hash with more different segments than a batch may hold (the edges of a passage that is in a great part of all
+documents: each goes on in another way) is dealt again, by the least hashes at both ends of each window as well, and where
+that is not enough over shorter and shorter ends. Again what occurs once goes, what is equal counts as one, and what is
+left is batched. So a segment breaks up in a few parts a level, nearly all of which go at once. Parts that are still too
+many after that are told apart window by window, by a hash of all bytes.
 
 Defined cases: a null or empty text has no bytes; texts under ``length`` bytes lose nothing; repeated rows are copies of
 each other, so all their windows go; rows with a null id are handled like others; an empty table gives an empty result.
@@ -22,14 +26,16 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField
 
 from facetrank.llm import text as K
+from facetrank.llm.components import dealt_anew
 from facetrank.sources.session import cut, prepare
 
 LENGTH = 200
@@ -38,8 +44,10 @@ GRAM = 32
 RUN = 4096
 #: Bytes of segments that one transform is built of.
 BATCH_BYTES = 1 << 20
-#: Different segments of one hash that a batch may hold, some 6 MB; beyond, windows are counted by their own hash.
-HOT_SEGMENTS = 16_384
+#: Bytes of different segments of one hash beyond which they are dealt again first, and grams at each end of a window
+#: whose least hash that goes by, level by level.
+HOT_BYTES = 1 << 18
+ENDS = (64, 16, 4)
 _SEGMENT = "h bigint, c bigint, start bigint, n bigint, inner boolean"
 
 
@@ -78,7 +86,8 @@ def segments(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tupl
         n = np.minimum(RUN, whole - inner * RUN)
     h = least[start]
     twice = _occurs_twice(grams, h, start, start + n + width - 1)
-    c = K.range_hashes(prefix, start, start + n + length - 1)
+    data = memoryview(np.ascontiguousarray(raw))
+    c = K.content_hashes(data[a:b] for a, b in zip(start.tolist(), (start + n + length - 1).tolist(), strict=True))
     return doc[start], h, c, start - offsets[doc[start]], n, twice
 
 
@@ -241,17 +250,20 @@ def repeated(parts: list[bytes], weights: np.ndarray, length: int) -> list[tuple
 
 
 _PART = ["h", "id0", "d", "start", "m", "data"]
-_RANGE = "id0 bigint, d bigint, a bigint, b bigint"
+_PARTS = "h bigint, id0 bigint, d bigint, start bigint, m bigint, data binary"
+_SPANS = "array<struct<a: bigint, b: bigint>>"
+_RANGE = f"id0 bigint, d bigint, spans {_SPANS}"
 
 
 def _expand_batches(parts: DataFrame, length: int) -> DataFrame:
-    """(id0, d, a, b): byte ranges of the repeated windows of the segments that occur once."""
+    """(id0, d, spans): byte ranges of the repeated windows of the segments that occur once."""
 
     def solve(held: list[tuple]) -> pa.RecordBatch:
         found = repeated([x[5] for x in held], np.array([x[4] for x in held]), length)
         rows = [(held[i][1], held[i][2], held[i][3] + first, held[i][3] + stop + length - 1) for i, first, stop in found if held[i][4] == 1]
         columns = zip(*rows, strict=True) if rows else ([], [], [], [])
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["id0", "d", "a", "b"])
+        id0, d, a, b = (np.array(x, np.int64) for x in columns)
+        return pa.RecordBatch.from_arrays([pa.array(id0), pa.array(d), _spans_of(a, b, np.arange(len(a) + 1))], names=["id0", "d", "spans"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -269,26 +281,107 @@ def _expand_batches(parts: DataFrame, length: int) -> DataFrame:
     return parts.select(*_PART).repartition("h").sortWithinPartitions("h").mapInArrow(run, _RANGE)
 
 
-def _hot_windows(parts: DataFrame, length: int) -> DataFrame:
-    """As :func:`_expand_batches`, for hashes with very many segments: windows counted by their own hash."""
+def _spans_of(a: np.ndarray, b: np.ndarray, first: np.ndarray) -> pa.Array:
+    """Lists of ranges [a, b); ``first`` says where each list begins, and the end."""
+    return pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.StructArray.from_arrays([pa.array(a), pa.array(b)], ["a", "b"]))
+
+
+def _gathered(owner: np.ndarray, key: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(the first, the number and the joined ranges of the runs of each owner and key), for runs of periodic text recur."""
+    order = np.lexsort((start, key, owner))
+    key, owner, start, stop = key[order], owner[order], start[order], (start + size)[order]
+    fresh = np.ones(len(key), bool)
+    fresh[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
+    edge = fresh.copy()
+    edge[1:] |= start[1:] > stop[:-1]  # runs of one key have one size, so the stops are in order as well
+    first, spans = np.flatnonzero(fresh), np.flatnonzero(edge)
+    ends = stop[np.append(spans[1:], len(stop)) - 1] if len(spans) else stop
+    return order[first], np.diff(np.append(first, len(key))), _spans_of(start[spans], ends, np.searchsorted(spans, np.append(first, len(key))))
+
+
+def _windows_of(batch: pa.RecordBatch, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes of all segments; segment, place in the bytes and place in the document of each of their windows)."""
+    raw, offsets = K.buffers(batch.column("data"))
+    n = np.diff(offsets) - length + 1
+    owner = np.repeat(np.arange(len(n)), n)
+    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return raw, owner, offsets[:-1][owner] + at, np.asarray(batch.column("start"))[owner] + at
+
+
+def _split(parts: DataFrame, length: int, width: int) -> DataFrame:
+    """(h, id0, d, start, m, data, c, inner, own, spans): the segments as runs of windows with the same least hashes at
+    both ends. Equal runs of a segment are one, with the ranges of all. ``own`` is the weight of the segment, ``m`` that
+    times the number of equal runs; ``inner`` says that two windows of the run may be the same.
+    """
+    gram = min(GRAM, length)
+    width = min(width, length - gram + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in K.slices(batches, "data"):
-            raw, offsets = K.buffers(batch.column("data"))
-            n = np.diff(offsets) - length + 1
-            owner = np.repeat(np.arange(len(n)), n)
-            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            prefix = K.prefix_hashes(raw)
-            start = offsets[:-1][owner] + at
-            half = length // 2
-            w1, w2 = K.range_hashes(prefix, start, start + length), K.range_hashes(prefix, start, start + half) * K.U64(3) + K.range_hashes(prefix, start + half, start + length)
-            picked = [batch.column(c).take(pa.array(owner)) for c in ("id0", "d", "m")]
-            place = np.asarray(batch.column("start"))[owner] + at
-            yield pa.RecordBatch.from_arrays([*picked, pa.array(place), _as_signed(w1), _as_signed(w2)], names=["id0", "d", "m", "a", "w1", "w2"])
-
-    windows = parts.select("id0", "d", "m", "start", "data").mapInArrow(run, "id0 bigint, d bigint, m bigint, a bigint, w1 bigint, w2 bigint")
-    twice = windows.groupBy("w1", "w2").agg(F.sum("m").alias("total")).where("total > 1")
-    return windows.join(twice, ["w1", "w2"]).where("m = 1").select("id0", "d", "a", (F.col("a") + length).alias("b"))
+            raw, owner, place, start = _windows_of(batch, length)
+            prefix, every = K.prefix_hashes(raw), np.arange(len(raw) - gram + 1)
+            grams = K.range_hashes(prefix, every, every + gram)
+            least = _sliding_minimum(grams, width)
+            key = K.mix(least[place] + K.mix(least[place + length - gram + 1 - width] + K.U64(1)))
+            key = K.mix(key ^ K.mix(np.asarray(batch.column("h")).view(np.uint64)[owner]))
+            new = np.ones(len(key), bool)
+            new[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
+            first, which, begins = np.flatnonzero(new), np.cumsum(new) - 1, grams[place]
+            size = np.diff(np.append(first, len(key))) + length - 1
+            order = np.lexsort((begins, which))
+            same = (which[order][1:] == which[order][:-1]) & (begins[order][1:] == begins[order][:-1])
+            inner = np.zeros(len(first), bool)
+            inner[which[order][1:][same]] = True
+            data = memoryview(np.ascontiguousarray(raw))
+            c = K.content_hashes(data[a:b] for a, b in zip(place[first].tolist(), (place[first] + size).tolist(), strict=True))
+            some, times, spans = _gathered(owner[first], K.mix(key[first]) ^ c, start[first], size)
+            chosen = first[some]
+            of = pa.array(owner[chosen])
+            pieces = [bytes(data[a:b]) for a, b in zip(place[chosen].tolist(), (place[chosen] + size[some]).tolist(), strict=True)]
+            own = np.asarray(batch.column("m"))[owner[chosen]]
+            arrays = [_as_signed(key[chosen]), batch.column("id0").take(of), batch.column("d").take(of), pa.array(start[chosen]), pa.array(own * times), pa.array(pieces, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*arrays, _as_signed(c[some]), pa.array(inner[some]), pa.array(own), spans], names=[*_PART, "c", "inner", "own", "spans"])
+
+    return parts.select(*_PART).mapInArrow(run, f"{_PARTS}, c bigint, inner boolean, own bigint, spans {_SPANS}")
+
+
+def _whole_windows(parts: DataFrame, length: int) -> DataFrame:
+    """As :func:`_expand_batches`, window by window: those whose bytes have the same hash as another one's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in K.slices(batches, "data", limit=K.SLICE_BYTES // 16):
+            raw, owner, place, start = _windows_of(batch, length)
+            data = memoryview(np.ascontiguousarray(raw))
+            hashed = K.content_hashes(data[i : i + length] for i in place.tolist())
+            some, times, spans = _gathered(owner, hashed, start, np.full(len(owner), length))
+            of = pa.array(owner[some])
+            own = np.asarray(batch.column("m"))[owner[some]]
+            yield pa.RecordBatch.from_arrays([_as_signed(hashed[some]), batch.column("id0").take(of), batch.column("d").take(of), pa.array(own), pa.array(own * times), spans], names=["k", "id0", "d", "own", "m", "spans"])
+
+    every = parts.select(*_PART).mapInArrow(run, f"k bigint, id0 bigint, d bigint, own bigint, m bigint, spans {_SPANS}")
+    again = every.groupBy("k").agg(F.sum("m").alias("total")).where("total > 1").select("k")
+    return every.where("own = 1").join(dealt_anew(again, "k").hint("merge"), "k", "left_semi").select("id0", "d", "spans")
+
+
+def _hot_ranges(parts: DataFrame, length: int) -> DataFrame:
+    """As :func:`_expand_batches`, for hashes with more segments than a batch may hold."""
+    ranges = []
+    for width in ENDS:
+        runs = cut(_split(parts, length, width))
+        kinds = runs.groupBy("h", "c").agg(F.sum("m").alias("m"), F.bool_or("inner").alias("inner"), F.min(F.struct("id0", "d", "start", "data")).alias("x"))
+        kinds = cut(kinds.select("h", "c", "m", "inner", "x.*"))
+        same = runs.where("own = 1").join(kinds.where("m > 1").select("h", "c").hint("merge"), ["h", "c"], "left_semi")
+        ranges.append(same.select("id0", "d", "spans"))
+        open_ = F.count_if(F.expr("m = 1")).alias("single"), F.count(F.lit(1)).alias("kinds"), F.bool_or("inner").alias("inner_any")
+        sizes = kinds.groupBy("h").agg(F.sum(F.octet_length("data")).alias("bytes"), *open_).where("single > 0 AND (kinds > 1 OR inner_any)")
+        left = cut(kinds.join(dealt_anew(sizes, "h").hint("merge"), "h").select(*_PART, "bytes"))
+        ranges.append(_expand_batches(left.where(F.col("bytes") <= HOT_BYTES), length))
+        parts = left.where(F.col("bytes") > HOT_BYTES).select(*_PART)
+        if parts.isEmpty():
+            break
+    else:
+        ranges.append(_whole_windows(parts, length))
+    return reduce(DataFrame.union, ranges)
 
 
 def _fetch(texts: DataFrame, length: int) -> DataFrame:
@@ -339,25 +432,29 @@ def _spans(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     every = cut(fingerprint(docs, length, unique))
     runs = every.select("id0", "d", F.explode("segments").alias("s")).select("id0", "d", "s.*")
     again = runs.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.bool_or("inner").alias("inner")).where("k > 1 OR inner").select("h")
-    same, hashes = Window.partitionBy("h", "c"), Window.partitionBy("h")
-    rows = runs.join(again.hint("merge"), "h", "left_semi")
-    rows = rows.withColumns({"m": F.count(F.lit(1)).over(same), "pick": F.row_number().over(same.orderBy("id0", "d", "start")) == 1})
-    rows = rows.withColumns({"kinds": F.sum(F.col("pick").cast("long")).over(hashes), "any_inner": F.bool_or("inner").over(hashes)})
-    # One kind of segment that occurs twice is an interval that needs no expansion: its weight says that it repeats.
-    rows = cut(rows.where("m > 1 OR kinds > 1 OR any_inner").withColumn("open", F.expr("kinds > 1 OR any_inner")).drop("inner", "any_inner"))
+    rows = cut(runs.join(dealt_anew(again, "h").hint("merge"), "h", "left_semi"))
+    kinds = rows.groupBy("h", "c").agg(F.count(F.lit(1)).alias("m"), F.bool_or("inner").alias("inner"), F.min(F.struct("id0", "d", "start", "n")).alias("x"))
+    kinds = cut(kinds.select("h", "c", "m", "inner", "x.*"))
 
-    asked = F.struct("h", "m", "start", "n", (F.col("kinds") > HOT_SEGMENTS).alias("hot"))
-    lists = rows.groupBy("id0", "d").agg(F.collect_list(F.when(F.col("open") & F.col("pick"), asked)).alias("wanted"))
+    # One kind of segment that occurs twice is an interval that needs no expansion: its weight says that it repeats.
+    hashes = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"), F.bool_or("inner").alias("inner"), F.sum(F.col("n") + (length - 1)).alias("bytes")).where("kinds > 1 OR inner")
+    hashes = hashes.select("h", (F.col("bytes") > HOT_BYTES).alias("hot"))
+    asked = kinds.join(dealt_anew(hashes, "h").hint("merge"), "h").select("id0", "d", F.struct("h", "m", "start", "n", "hot").alias("asked"))
+    here = rows.select("id0", "d", F.lit(None).cast(asked.schema["asked"].dataType).alias("asked")).distinct()
+    lists = asked.union(here).groupBy("id0", "d").agg(F.collect_list("asked").alias("wanted"))
     texts = cut(_with_digest(docs, unique).join(lists.hint("merge"), ["id0", "d"]))
     once = texts
     if not unique and not every.groupBy("id0", "d").count().where("count > 1").isEmpty():
         once = texts.dropDuplicates(["id0", "d"])  # rows that are the same in id and text are asked once
     parts = cut(_fetch(once, length))
     ranges = _expand_batches(parts.where("NOT hot"), length)
-    if not parts.where("hot").isEmpty():
-        ranges = ranges.union(_hot_windows(parts.where("hot"), length))
-    whole = rows.where("m > 1").select("id0", "d", F.col("start").alias("a"), (F.col("start") + F.col("n") + (length - 1)).alias("b"))
-    ranges = whole.union(ranges).groupBy("id0", "d").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
+    hot = parts.where("hot").drop("hot")
+    if not hot.isEmpty():
+        ranges = ranges.union(_hot_ranges(hot, length))
+    same = rows.join(kinds.where("m > 1").select("h", "c").hint("merge"), ["h", "c"], "left_semi")
+    span = F.struct(F.col("start").alias("a"), (F.col("start") + F.col("n") + (length - 1)).alias("b"))
+    whole = same.select("id0", "d", F.array(span).alias("spans"))
+    ranges = whole.union(ranges).groupBy("id0", "d").agg(F.flatten(F.collect_list("spans")).alias("ranges"))
     return every, texts.select("id0", "d", "text").join(ranges.hint("merge"), ["id0", "d"])
 
 
@@ -376,7 +473,7 @@ def _with_digest(docs: DataFrame, unique: bool) -> DataFrame:
 
 def repeat_report(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    slim = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    slim = docs.select(F.col(K.quoted(doc_id)).cast("bigint").alias("doc_id"), F.col(K.quoted(text)).alias("text"))
     every, hit = _spans(slim, length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -413,24 +510,20 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
                 data = text.encode()
                 edges = [0, *(x for r in whole_characters(data, merged(ranges)) for x in r), len(data)]
                 kept.append(b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)).decode())
-            yield pa.RecordBatch.from_arrays([batch.column("id0"), batch.column("d"), pa.array(kept, pa.string())], names=["_id0", "_d", "_kept"])
-
-    changed = cut(hit.mapInArrow(run, "_id0 bigint, _d bigint, _kept string")).dropDuplicates(["_id0", "_d"])
-    fields = [f for f in docs.schema if f.name not in ("_id0", "_d", "_kept")]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", _id0 bigint, _d bigint"
+            yield pa.RecordBatch.from_arrays([batch.column("id0"), batch.column("d"), pa.array(kept, pa.string())], names=["id0", "d", "kept"])
 
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in K.slices(batches):
-            digest, _ = _digests(*K.buffers(batch.column("text")))
-            ids = pc.cast(batch.column("doc_id"), pa.int64()).fill_null(-1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids, _as_signed(digest)], names=[*batch.schema.names, "_id0", "_d"])
+    id0, d, new = (K.unused(c, docs.columns) for c in ("id0", "d", "kept"))
+    changed = cut(hit.mapInArrow(run, "id0 bigint, d bigint, kept string")).dropDuplicates(["id0", "d"]).toDF(id0, d, new)
 
-    marked = docs.select(*(f"`{f.name}`" for f in fields))
     if unique_ids(slim):
-        marked = marked.withColumns({"_id0": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1)), "_d": F.lit(0).cast("bigint")})
+        marked = docs.withColumns({id0: F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1)), d: F.lit(0).cast("bigint")})
     else:
-        marked = marked.mapInArrow(mark, schema)
-    out = marked.join(changed.hint("merge"), ["_id0", "_d"], "left").withColumn("text", F.coalesce("_kept", "text"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        marked = docs.withColumn(id0, F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1)))
+        marked = K.with_columns_of(marked, "text", [StructField(d, LongType())], lambda batch, held: [_as_signed(_digests(*K.buffers(batch.column(held)))[0])])
+    out = marked.join(changed.hint("merge"), [id0, d], "left")
+    text = {f.name.lower(): f.name for f in docs.schema}["text"]
+    values = {text: F.coalesce(F.col(new), F.col("text"))}
+    for f in docs.schema:
+        if f.name.lower() == "n_chars":
+            values[f.name] = F.when(F.col(new).isNull(), F.col(f.name)).otherwise(F.length(new)).cast(f.dataType)
+    return out.select(*(values[c].alias(c) if c in values else F.col(K.quoted(c)) for c in docs.columns))

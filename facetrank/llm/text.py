@@ -6,12 +6,15 @@ the slice (or the longest single document) and not the partition.
 
 from __future__ import annotations
 
+import hashlib
 import sys
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql.types import StructField, StructType
 
 #: Bytes of text that a kernel handles at once; its arrays take some 100 times that.
 SLICE_BYTES = 1 << 20
@@ -25,6 +28,37 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+def unused(name: str, *taken: Iterable[str]) -> str:
+    """A column name like ``name`` that none of the lists holds; names are compared as Spark does, without case."""
+    held = {c.lower() for some in taken for c in some}
+    while name.lower() in held:
+        name = "_" + name
+    return name
+
+
+def quoted(name: str) -> str:
+    """A column's name as an expression, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def with_columns_of(docs: DataFrame, text: str, added: list[StructField], make: Callable[[pa.RecordBatch, str], list[pa.Array]]) -> DataFrame:
+    """``docs`` with the columns ``added``, which ``make`` works out from slices of rows; it is given the slice and the
+    name that the text column has in it.
+
+    Columns travel under numbers, as a batch function's input can't have every name that a table can.
+    """
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    held = names[[c.lower() for c in docs.columns].index(text.lower())]
+    more = [f"added{i}" for i in range(len(added))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, held):
+            yield pa.RecordBatch.from_arrays([*batch.columns, *make(batch, held)], names=[*names, *more])
+
+    fields = [StructField(n, f.dataType) for n, f in zip(names + more, [*docs.schema.fields, *added], strict=True)]
+    return docs.toDF(*names).mapInArrow(run, StructType(fields)).toDF(*docs.columns, *(f.name for f in added))
+
+
 def worker_cache(name: str, make):
     """An object that lives as long as this Python worker process, so that tasks share it."""
     held = sys.__dict__.setdefault("_facetrank_worker_cache", {})
@@ -111,7 +145,11 @@ def prefix_hashes(raw: np.ndarray) -> np.ndarray:
 
 
 def range_hashes(prefix: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte range; equal ranges have equal hashes wherever they stand."""
+    """64-bit hash of each byte range; equal ranges have equal hashes wherever they stand.
+
+    The reverse doesn't hold for all bytes (a power of two as modulus), so this only brings candidates together; where
+    equality decides a result, use :func:`content_hashes`.
+    """
     _, down = powers(len(prefix))
     return mix((prefix[stop] - prefix[start]) * down[start])
 
@@ -131,10 +169,25 @@ def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return start, stop, np.searchsorted(start, offsets)
 
 
+def content_hash(data: bytes) -> bytes:
+    """64 bits of a cryptographic hash, for equality that decides results: no pattern of bytes can make it collide."""
+    return hashlib.blake2b(data, digest_size=8).digest()
+
+
+def content_hashes(values: Iterable[bytes]) -> np.ndarray:
+    """:func:`content_hash` of each value."""
+    return np.frombuffer(b"".join(map(content_hash, values)), U64)
+
+
 def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit hash of each word, first word of each document and the end)."""
+    """(64-bit content hash of each word, first word of each document and the end); distinct words are hashed once."""
     start, stop, first = words(raw, offsets)
-    return range_hashes(prefix_hashes(raw), start, stop), first
+    ends = np.zeros(len(start) + 1, np.int64)
+    np.cumsum(stop - start, out=ends[1:])
+    letters = raw[~IS_SPACE[raw]]
+    every = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(letters))])
+    coded = every.dictionary_encode()
+    return content_hashes(coded.dictionary.to_pylist())[np.asarray(coded.indices)], first
 
 
 def windows(hashes: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
