@@ -2,15 +2,19 @@
 
 Vectors become integers, so that scores are exact. A rotation from the singular vectors of the whole table (by its Gram
 matrix, which has dimensions squared entries however many rows there are) moves most of the length into the first
-coordinates. Rows are ordered by descending length into blocks of a fixed size, queries into blocks as well. Every query
-first meets the block of the longest rows, which gives it a lower bound on its k-th score. Then each pair of a query
-block and a row block is one task's work: a row is skipped when the bound says that it cannot matter, that is when
-the partial sum over the first coordinates plus the product of the two remaining lengths is below the k-th score so far.
+coordinates. Rows are ordered by descending length into bands, at most ``BANDS`` of them, and each band is dealt into
+blocks of a fixed size; queries are dealt into blocks as well. Every query first meets a block of the longest rows, which
+gives it a lower bound on its k-th score. With that, its own length and the lengths of a band, Cauchy-Schwarz says which
+bands it needs at all; queries are put in blocks by that number, and a row is sent only to the query blocks that need its
+band. Then each pair of a query block and a row block is one task's work: a row is skipped when the partial sum over the
+first coordinates plus the product of the two remaining lengths is below the k-th score so far. The plan holds a few
+numbers for each band, however many rows there are.
 Bounds are compared with a margin for rounding; what passes is scored in whole numbers.
 
 Defined cases: vectors that are null, or hold a null or a non-finite component, take no part; missing components of a
-shorter vector count as 0; ties go to the smaller id; a null id takes no part; repeated rows are separate candidates,
-and a query's own id is never its candidate; an empty table gives an empty result.
+shorter vector count as 0; ties go to the smaller id; a null id takes no part; repeated rows are separate candidates.
+A row is known by its id: rows that share a query's id are all its own and never its candidates, and an id on several
+vectors is one query whose pairs are ranked together. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from facetrank.sources.session import cut, prepare
@@ -28,6 +32,8 @@ K = 5
 SCALE = 256
 #: Rows of a block, and queries of a block.
 BLOCK = 2048
+#: Bands of length, and how many different numbers of bands a query block may need.
+BANDS, LEVELS = 256, 8
 #: Parts of the first coordinates over which partial sums are taken.
 PARTIAL = 4
 
@@ -132,6 +138,10 @@ def _ranked(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("copy", F.monotonically_increasing_id()).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("copy")
 
 
+def _numbers(values: list[int]) -> Column:
+    return F.array(*map(F.lit, values))
+
+
 def top_k(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedding", query_every: int = 50, k: int = K, scale: int = SCALE, block: int = BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best rows of each query, the rows whose id is divisible by ``query_every``."""
     spark = prepare(vectors.sparkSession)
@@ -144,36 +154,55 @@ def top_k(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embed
     width = max(1, row["width"] or 1)
     turn = rotation(rows, width)
 
-    # Blocks by descending length: the bounds of the blocks come from quantiles, one number a block.
-    blocks = max(1, -(-row["n"] // block))
-    edges = sorted({float(e) for e in rows.approxQuantile("norm", [i / blocks for i in range(1, blocks)], 0.25 / blocks)}, reverse=True) if blocks > 1 else []
-    place = F.lit(0)
-    if edges:
-        place = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e > F.col("norm")))
-    # Equal lengths can fill a block by themselves; such a block is split by a hash of the id.
-    placed = rows.withColumn("b", place)
-    sizes = placed.groupBy("b").agg(F.count(F.lit(1)).alias("members"))
-    sizes = {r["b"]: -(-r["members"] // block) for r in sizes.collect()}  # one row a block
-    parts = F.element_at(F.create_map(*[F.lit(x) for kv in sizes.items() for x in kv]), F.col("b"))
-    placed = cut(placed.withColumn("xb", F.concat_ws("-", F.col("b").cast("string"), F.pmod(F.xxhash64("vec_id"), parts).cast("string"))))
-
-    asks = placed.where(F.pmod("vec_id", F.lit(query_every)) == 0)
+    # Bands by descending squared length; their edges are quantiles.
+    bands = max(1, min(BANDS, -(-row["n"] // block)))
+    edges = sorted({float(e) for e in rows.approxQuantile("norm", [i / bands for i in range(1, bands)], 0.25 / bands)}, reverse=True) if bands > 1 else []
+    listed = F.array(*map(F.lit, edges)) if edges else F.array().cast("array<double>")
+    placed = rows.withColumn("band", F.size(F.filter(listed, lambda e: e > F.col("norm"))))
+    members = {r["band"]: r["n"] for r in placed.groupBy("band").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a band
+    parts = [-(-members.get(b, 0) // block) for b in range(len(edges) + 1)]
+    # Which block of its band a row is in follows from its place in the table, so repeated ids don't meet in one.
+    part = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.greatest(F.element_at(_numbers(parts), F.col("band") + 1), F.lit(1)))
+    placed = cut(placed.withColumn("part", part.cast("int")))
+
+    asks = placed.where(F.pmod("vec_id", F.lit(query_every)) == 0).select("vec_id", "q", "norm")
     q_blocks = max(1, -(-asks.count() // block))
-    asks = asks.select("vec_id", "q", F.pmod(F.xxhash64("vec_id"), F.lit(q_blocks)).cast("int").alias("qb"))
-    names = sorted({(b, p) for b, n in sizes.items() for p in range(n)})
-    head, tail = f"{names[0][0]}-{names[0][1]}", [f"{b}-{p}" for b, p in names[1:]]
+    head = min(b for b, n in enumerate(parts) if n)
     fields = ["qb", "xb", "is_query", "vec_id", "q", "floor"]
-
-    def dealt(questions: DataFrame, where: list[str]) -> DataFrame:
-        left = questions.withColumns({"xb": F.explode(F.array(*map(F.lit, where))), "is_query": F.lit(True)}).select(*fields)
-        right = placed.where(F.col("xb").isin(where)).withColumns({"qb": F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))), "is_query": F.lit(False), "floor": F.lit(float("-inf"))})
-        return left.union(right.select(*fields))
-
-    started = cut(_meet(dealt(asks.withColumn("floor", F.lit(float("-inf"))), [head]), turn, k))
-    pairs = started
-    if tail:
-        kth = started.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score").cast("double")).alias("floor")).withColumnRenamed("query_id", "vec_id")
-        floors = asks.join(kth, "vec_id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
-        pairs = started.union(_meet(dealt(floors, tail), turn, k))
-    # A query's id on several rows asks the same again; its pairs are told apart by rank, not doubled.
+    name = F.concat_ws("-", F.col("band").cast("string"), F.col("part").cast("string")).alias("xb")
+    low = F.lit(float("-inf"))
+
+    def dealt(questions: DataFrame, answers: DataFrame) -> DataFrame:
+        left = questions.select("qb", name, F.lit(True).alias("is_query"), "vec_id", "q", "floor")
+        return left.union(answers.select("qb", name, F.lit(False).alias("is_query"), "vec_id", "q", low.alias("floor"))).select(*fields)
+
+    # The first meeting: all queries, a block of the longest rows.
+    every = asks.select("vec_id", "q", low.alias("floor"), F.pmod(F.xxhash64("vec_id"), F.lit(q_blocks)).cast("int").alias("qb"), F.lit(head).alias("band"), F.lit(0).alias("part"))
+    longest = placed.where((F.col("band") == head) & (F.col("part") == 0)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
+    started = cut(_meet(dealt(every, longest), turn, k))
+    if sum(parts) == 1:
+        return _ranked(started, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+    # How many bands a query needs: those whose greatest length times its own reaches its k-th score so far.
+    kth = started.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score").cast("double")).alias("floor")).withColumnRenamed("query_id", "vec_id")
+    floors = asks.join(kth.hint("merge"), "vec_id", "left").withColumn("floor", F.coalesce("floor", low))
+    reach = F.size(F.filter(listed, lambda e: (F.col("floor") <= 0) | (e * F.col("norm") * (1 + 1e-6) >= F.col("floor") * F.col("floor"))))
+    levels = min(LEVELS, len(edges) + 1)
+    level = F.ceil((reach + 1) * F.lit(levels) / F.lit(len(edges) + 1)).cast("int") - 1
+    floors = cut(floors.withColumn("level", level))
+    asked = {r["level"]: r["n"] for r in floors.groupBy("level").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a level
+    blocks = [-(-asked.get(v, 0) // block) for v in range(levels)]
+    last = [(v + 1) * (len(edges) + 1) // levels - 1 for v in range(levels)]  # the last band that a level needs
+    # Query blocks are numbered from those that need most, so a band is needed by the first few numbers.
+    first = [sum(blocks[v + 1 :]) for v in range(levels)]
+    needed = [sum(n for n, end in zip(blocks, last, strict=True) if end >= b) for b in range(len(parts))]
+    at = F.col("level") + 1
+    number = F.element_at(_numbers(first), at) + F.pmod(F.xxhash64("vec_id"), F.greatest(F.element_at(_numbers(blocks), at), F.lit(1)))
+    floors = floors.withColumns({"qb": number.cast("int"), "band": F.explode(F.sequence(F.lit(0), F.element_at(_numbers(last), at)))})
+    counts = F.element_at(_numbers(parts), F.col("band") + 1)
+    floors = floors.where(counts > 0).withColumn("part", F.explode(F.sequence(F.lit(0), counts - 1)))
+    wanted = F.element_at(_numbers(needed), F.col("band") + 1)
+    others = placed.where(wanted > 0).withColumn("qb", F.explode(F.sequence(F.lit(0), wanted - 1)))
+    rest = (F.col("band") != head) | (F.col("part") != 0)
+    pairs = started.union(_meet(dealt(floors.where(rest), others.where(rest)), turn, k))
     return _ranked(pairs, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
