@@ -15,11 +15,14 @@ itself; rows with a null id are verified by every rule; an empty table gives an
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from facetrank.llm import text as K
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -54,6 +57,8 @@ PEM_BODY = r"(?:\s{1,4}(?:Proc-Type|DEK-Info): [^\r\n]{0,100}){0,2}(?:(?:\\[rn]|
 #: The rules of redaction: a private key goes with its header. Scans report the header, as their SQL does.
 REDACT_RULES = tuple(Rule(r.kind, f"{r.pattern}(?:{PEM_TO_END}|{PEM_BODY})?") if r.kind == "pem" else r for r in RULES)
 REDACTED = "[REDACTED]"
+#: Matches in a run, whose places are carried on from one to the next.
+RUN = 256
 #: Strings that a part of an expression may stand for before the derivation gives up on it.
 MAX_STRINGS = 64
 
@@ -141,40 +146,74 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     return met.groupBy("doc_id").agg(F.bit_or(F.expr("shiftleft(1L, rule)")).alias("rules"))
 
 
+def bound_to(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def carried(items: Column, kind: str, before: Callable[[Column], Column], step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
+    """array<kind>: what ``step`` of (place so far, item) makes of each item, beside the place that it hands on.
+
+    Items are taken in runs of ``RUN``: the place where a run begins is ``before`` of all items ahead of it, and only
+    within the run is it handed on. So n items take n * RUN + n * n / RUN plain steps and not n * n copies.
+    """
+    nothing = F.array().cast(f"array<{kind}>")
+
+    def merge(acc: Column, x: Column) -> Column:
+        at, made = step(acc["at"], x)
+        return F.struct(at.alias("at"), F.concat(acc["out"], F.array(made)).alias("out"))
+
+    def run(j: Column) -> Column:
+        at = before(F.slice(items, F.lit(1), j * RUN))
+        return F.aggregate(F.slice(items, j * RUN + 1, F.lit(RUN)), F.struct(at.alias("at"), nothing.alias("out")), merge, lambda acc: acc["out"])
+
+    runs = F.sequence(F.lit(0), ((F.size(items) - 1) / F.lit(RUN)).cast("int"))
+    return F.when(F.size(items) > 0, F.flatten(F.transform(runs, run))).otherwise(nothing)
+
+
 def spans(text: Column, rule: Rule, number: int) -> Column:
     """array<struct<start, kind, end>> of one rule's matches, by the lengths of what stands between and in them."""
     pattern = F.lit(rule.pattern)
     between = F.transform(F.split(text, rule.pattern, -1), F.length)
     matched = F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), F.length)
-    checked = F.transform(F.regexp_extract_all(text, pattern, F.lit(rule.group)), F.length) if rule.group else matched
-    item = "start bigint, kind int, end bigint, fits boolean"
-    empty = F.from_json(F.lit("[]"), f"array<struct<{item.replace(' ', ':').replace(',:', ', ')}>>")
-    steps = F.arrays_zip(F.slice(between, 1, F.greatest(F.size(matched), F.lit(0))).alias("b"), matched.alias("m"), checked.alias("c"))
+    checked = F.transform(F.regexp_extract_all(text, pattern, F.lit(rule.group)), F.length) if rule.group else None
+
+    def zipped(m: Column) -> Column:
+        return F.arrays_zip(F.slice(between, F.lit(1), F.size(m)).alias("b"), m.alias("m"), (m if checked is None else checked).alias("c"))
+
+    def length(x: Column) -> Column:
+        return x["b"].cast("bigint") + x["m"].cast("bigint")
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["b"].cast("bigint")
-        end = start + x["m"].cast("bigint")
-        found = F.struct(start.alias("start"), F.lit(number).alias("kind"), end.alias("end"), (x["c"] >= rule.least).alias("fits"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(found)).alias("out"))
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        end = at + length(x)
+        return end, F.struct((at + x["b"].cast("bigint")).alias("start"), F.lit(number).alias("kind"), end.alias("end"), (x["c"] >= rule.least).alias("fits"))
 
-    folded = F.aggregate(steps, F.struct(F.lit(0).cast("bigint").alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
-    return F.transform(F.filter(folded, lambda x: x["fits"]), lambda x: F.struct(x["start"], x["kind"], x["end"]))
+    def placed(steps: Column) -> Column:
+        zero = F.lit(0).cast("bigint")
+        every = carried(steps, "struct<start:bigint, kind:int, end:bigint, fits:boolean>", lambda some: F.aggregate(some, zero, lambda acc, x: acc + length(x)), step)
+        return F.transform(F.filter(every, lambda x: x["fits"]), lambda x: F.struct(x["start"], x["kind"], x["end"]))
 
+    return bound_to(bound_to(matched, zipped), placed)
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``docs`` (with doc_id and text) with ``secret_spans``: array<struct<start, kind, end>> by start, then rule."""
-    docs = docs.drop("secret_spans", "_rules", "_text")
+
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, into: str = "secret_spans") -> DataFrame:
+    """``docs`` (with doc_id and text) with ``into``: array<struct<start, kind, end>> by start, then rule.
+
+    A column of that name is replaced; all others stay, whatever their names.
+    """
+    docs = docs.select(*(F.col(K.quoted(c)) for c in docs.columns if c.lower() != into.lower()))
+    key, bits, whole = (K.unused(c, docs.columns, [into]) for c in ("id", "rules", "whole_text"))
     found = candidates(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), rules)
-    found = found.select(F.col("doc_id").alias("_id"), F.col("rules").alias("_rules"))
-    with_rules = docs.join(found, F.col("doc_id") == F.col("_id"), "left").drop("_id")
-    with_rules = with_rules.withColumn("_rules", F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.coalesce("_rules", F.lit(0))).cast("bigint"))
-    with_rules = with_rules.withColumn("_text", F.coalesce("text", F.lit("")))
-    nothing = F.from_json(F.lit("[]"), "array<struct<start:bigint, kind:int, end:bigint>>")
+    found = found.select(F.col("doc_id").alias(key), F.col("rules").alias(bits))
+    with_rules = docs.join(found, F.col("doc_id") == F.col(key), "left")
+    asked = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.coalesce(F.col(bits), F.lit(0))).cast("bigint")
+    with_rules = with_rules.withColumns({bits: asked, whole: F.coalesce("text", F.lit(""))})
+    nothing = F.array().cast("array<struct<start:bigint, kind:int, end:bigint>>")
     parts = []
     for i, rule in enumerate(rules):
-        every = spans(F.col("_text"), rule, i)
-        parts.append(every if trigram_query(rule.pattern) is None else F.when(F.col("_rules").bitwiseAND(F.lit(1 << i)) != 0, every).otherwise(nothing))
-    return with_rules.withColumn("secret_spans", F.array_sort(F.concat(*parts))).drop("_rules", "_text")
+        every = spans(F.col(whole), rule, i)
+        parts.append(every if trigram_query(rule.pattern) is None else F.when(F.col(bits).bitwiseAND(F.lit(1 << i)) != 0, every).otherwise(nothing))
+    return with_rules.withColumn(into, F.array_sort(F.concat(*parts))).drop(key, bits, whole)
 
 
 def joined(found: Column, rules: tuple[Rule, ...]) -> Column:
@@ -185,7 +224,7 @@ def joined(found: Column, rules: tuple[Rule, ...]) -> Column:
 
 def secret_report(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """One row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans."""
-    slim = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    slim = docs.select(F.col(K.quoted(doc_id)).cast("bigint").alias("doc_id"), F.col(K.quoted(text)).alias("text"))
     found = scan(slim, rules).select("doc_id", "secret_spans")
     base = F.filter("secret_spans", lambda x: x["kind"] < len(BASE_RULES))
 
@@ -199,15 +238,17 @@ def secret_report(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
 def redact(docs: DataFrame, *, rules: tuple[Rule, ...] = REDACT_RULES, mark: str = REDACTED) -> DataFrame:
     """``docs`` (with doc_id and text) with each secret replaced by ``mark``; overlapping secrets are one."""
 
-    def step(acc: Column, x: Column) -> Column:
-        fresh = x["start"] >= acc["at"]
-        gap = F.substring(F.col("text"), (acc["at"] + 1).cast("int"), (x["start"] - acc["at"]).cast("int"))
-        out = F.when(fresh, F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), out.alias("out"))
+    zero = F.lit(0).cast("bigint")
+
+    def last(some: Column) -> Column:
+        return F.coalesce(F.array_max(F.transform(some, lambda x: x["end"])), zero)
 
-    def finish(acc: Column) -> Column:
-        return F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.length("text")))
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        gap = F.substring(F.col("text"), (at + 1).cast("int"), (x["start"] - at).cast("int"))
+        return F.greatest(at, x["end"]), F.when(x["start"] >= at, F.concat(gap, F.lit(mark))).otherwise(F.lit(""))
 
-    found = scan(docs, rules)
-    clean = F.aggregate("secret_spans", F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out")), step, finish)
-    return found.withColumn("text", F.when(F.size("secret_spans") > 0, clean).otherwise(F.col("text"))).select(*docs.columns)
+    into = K.unused("secret_spans", docs.columns)
+    found = scan(docs, rules, into)
+    rest = F.substring(F.col("text"), (last(F.col(into)) + 1).cast("int"), F.length("text"))
+    clean = F.concat(F.array_join(carried(F.col(into), "string", last, step), ""), rest)
+    return found.withColumn("text", F.when(F.size(into) > 0, clean).otherwise(F.col("text"))).select(*(F.col(K.quoted(c)) for c in docs.columns))
