@@ -5,7 +5,8 @@ column), the failure rate of each host is shrunk towards an empirical beta prior
 on the host is joined back to its documents: documents of a host that fails almost always are rejected as well.
 
 Defined cases: a null text has no words and fails; a null host counts as the host ''; an empty table gives an empty
-result; repeated rows and repeated ids are judged row by row; columns other than the id, text and host are not touched.
+result; repeated rows and repeated ids are judged row by row; the filter returns the caller's columns as they are, whatever
+their names (its own have names that the caller's table doesn't use).
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from facetrank.llm import text as K
 from facetrank.sources.session import cut, prepare
@@ -69,22 +71,29 @@ def _counts(column: pa.Array) -> dict[str, np.ndarray]:
     }
 
 
-def measure(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with the counts of each row's text and ``base_failed``; columns of these names are replaced."""
+def _failed(found: dict[str, np.ndarray]) -> np.ndarray:
+    n, repeat = found["n_words"], found["n_repeat_words"]
+    return (n < MIN_WORDS) | (100 * repeat > MAX_REPEAT_PERCENT * n)
+
+
+def measure(docs: DataFrame) -> DataFrame:
+    """(doc_id, source, counts, base_failed) of each row of ``docs`` (doc_id, text, source)."""
     prepare(docs.sparkSession)
-    added = [*_COUNTS, "base_failed"]
-    keep = docs.drop(*added)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep.schema), *(f"{c} bigint" for c in _COUNTS), "base_failed boolean"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in K.slices(batches, text):
-            found = _counts(batch.column(text))
-            n, repeat = found["n_words"], found["n_repeat_words"]
-            failed = (n < MIN_WORDS) | (100 * repeat > MAX_REPEAT_PERCENT * n)
-            columns = [*batch.columns, *(pa.array(found[c], pa.int64()) for c in _COUNTS), pa.array(failed)]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, *added])
+        for batch in K.slices(batches):
+            found = _counts(batch.column("text"))
+            columns = [batch.column("doc_id"), batch.column("source"), *(pa.array(found[c], pa.int64()) for c in _COUNTS), pa.array(_failed(found))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "source", *_COUNTS, "base_failed"])
+
+    fields = [docs.schema["doc_id"], docs.schema["source"], *(StructField(c, LongType()) for c in _COUNTS), StructField("base_failed", BooleanType())]
+    return docs.select("doc_id", "text", "source").mapInArrow(run, StructType(fields))
+
 
-    return keep.mapInArrow(run, schema)
+def flagged(docs: DataFrame, text: str, name: str) -> DataFrame:
+    """``docs`` with a boolean column ``name``, which it must not have: whether the row fails by itself."""
+    prepare(docs.sparkSession)
+    return K.with_columns_of(docs, text, [StructField(name, BooleanType())], lambda batch, held: [pa.array(_failed(_counts(batch.column(held))))])
 
 
 def host_rates(measured: DataFrame, host: str = "source") -> DataFrame:
@@ -116,30 +125,36 @@ def host_verdicts(rates: DataFrame, prior: tuple[float, float], max_rate: float
     return rates.select("host", rate.alias("host_rate"), (rate <= F.lit(max_rate)).alias("host_kept"))
 
 
-def join_verdicts(rows: DataFrame, verdicts: DataFrame, host: str = "source") -> DataFrame:
-    """``rows`` with host_rate and host_kept; hosts are split into salted parts, so no task gets a whole hot host."""
-    left = rows.drop("host_rate", "host_kept").withColumn("_host", F.coalesce(F.col(host).cast("string"), F.lit(""))).withColumn(
-        "_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c, t in rows.dtypes if t in ("bigint", "string")]), F.lit(SALTS)).cast("int")
-    )
-    right = verdicts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    right = right.select(F.col("host").alias("_host"), "_salt", "host_rate", "host_kept")
-    return left.join(right, ["_host", "_salt"], "left").drop("_host", "_salt")
+def join_verdicts(rows: DataFrame, verdicts: DataFrame, host: str, kept: str, rate: str | None = None) -> DataFrame:
+    """``rows`` with column ``kept`` (and ``rate``) of its host; hosts are split into salted parts, so no task gets a whole hot host."""
+    mine, salt = K.unused("host", rows.columns), K.unused("salt", rows.columns)
+    plain = [F.col(K.quoted(c)) for c, t in rows.dtypes if t in ("bigint", "int", "string")]
+    left = rows.withColumns({mine: F.coalesce(F.col(K.quoted(host)).cast("string"), F.lit("")), salt: F.pmod(F.xxhash64(*plain), F.lit(SALTS)).cast("int")})
+    right = verdicts.select(F.col("host").alias(mine), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias(salt), F.col("host_kept").alias(kept), *([F.col("host_rate").alias(rate)] if rate else []))
+    return left.join(right, [mine, salt], "left").drop(mine, salt)
 
 
 def quality_rules(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", host: str = "source", max_rate: float = MAX_HOST_RATE) -> DataFrame:
     """One row per document: id, counts, base_failed, host_rate and kept."""
-    measured = cut(measure(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(host).alias("source"))).drop("text"))
+    named = docs.select(F.col(K.quoted(doc_id)).alias("doc_id"), F.col(K.quoted(text)).alias("text"), F.col(K.quoted(host)).alias("source"))
+    measured = cut(measure(named))
     rates = host_rates(measured)
-    judged = join_verdicts(measured, host_verdicts(rates, beta_prior(rates), max_rate))
+    judged = join_verdicts(measured, host_verdicts(rates, beta_prior(rates), max_rate), "source", "host_kept", "host_rate")
     return judged.select("doc_id", *_COUNTS, "base_failed", (~F.col("base_failed") & F.col("host_kept")).alias("kept"), "host_rate")
 
 
 def keep_good(docs: DataFrame, *, text: str = "text", host: str = "source", max_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """The rows of ``docs`` that pass, with their columns as they are (the pipeline's filter)."""
-    slim = measure(docs.select(F.col(text).alias("text"), F.col(host).alias("source"))).select("source", "base_failed")
-    rates = cut(host_rates(slim))
+    """The rows of ``docs`` that pass, with their columns as they are (the pipeline's filter).
+
+    Texts are measured twice, once for the hosts and once for the rows: that is cheaper than a copy of all texts.
+    """
+    slim = docs.select(F.col(K.quoted(text)).alias("text"), F.col(K.quoted(host)).alias("source"))
+    rates = cut(host_rates(flagged(slim, "text", "base_failed")))
     bad = host_verdicts(rates, beta_prior(rates), max_rate).where(~F.col("host_kept"))
-    passed = measure(docs, text).where(~F.col("base_failed"))
+    failed = K.unused("base_failed", docs.columns)
+    columns = [F.col(K.quoted(c)) for c in docs.columns]
+    passed = flagged(docs, text, failed).where(~F.col(failed)).select(*columns)
     if bad.isEmpty():
-        return passed.select(*docs.columns)
-    return join_verdicts(passed, bad, host).where(F.col("host_kept").isNull()).select(*docs.columns)
+        return passed
+    kept = K.unused("host_kept", docs.columns)
+    return join_verdicts(passed, bad, host, kept).where(F.col(kept).isNull()).select(*columns)
