@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from facetrank.llm import text as K
-from facetrank.llm.packing import Recent, tokenizer_path
+from facetrank.llm.packing import LONGEST_KEY, Recent, tokenizer_path
 from facetrank.sources.session import prepare
 
 #: Cuts, pieces and pairs of tokens that a worker keeps.
@@ -202,13 +202,21 @@ class Bpe:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         split = [CUT.findall(t) for t in texts]
         new = {c: self.pattern.findall(c) for c in self.cuts.missing(set().union(*split))}
-        for piece in self.pieces.missing(set().union(*new.values())):
+        fresh = self.pieces.missing(set().union(*new.values()))
+        for piece in fresh:
             ids = self.piece(piece.encode())
             self.pieces.young[piece] = struct.pack(f"<{len(ids)}I", *ids)
         cuts, pieces = self.cuts.young, self.pieces.young
         for c, found in new.items():
             cuts[c] = pieces[found[0]] if len(found) == 1 else b"".join([pieces[p] for p in found])
-        return [b"".join(map(cuts.__getitem__, some)) for some in split]
+        out = [b"".join(map(cuts.__getitem__, some)) for some in split]
+        for c in new:
+            if len(c) > LONGEST_KEY:
+                del cuts[c]
+        for p in fresh:
+            if len(p) > LONGEST_KEY:
+                del pieces[p]
+        return out
 
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]

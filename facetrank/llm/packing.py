@@ -1,7 +1,7 @@
 """Best-fit packing of token sequences by minimum bin slack.
 
 Documents are tokenised (words are encoded once per worker and kept), cut into pieces no longer than a sequence, and
-dealt into groups of a bounded number of pieces. In a group, each bin is opened with the longest piece left;
+dealt into groups of a fixed number of pieces. In a group, each bin is opened with the longest piece left;
 a bitset of reachable sums over the lengths still available then gives the fullest combination that fits beside it,
 and that combination leaves the group. Only lengths and ids are dealt, never tokens.
 
@@ -23,6 +23,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from facetrank.llm import text as K
 from facetrank.sources.session import cut, prepare
@@ -30,8 +31,12 @@ from facetrank.sources.session import cut, prepare
 CAPACITY = 2048
 #: Pieces in a group; the last bin of a group is the one that may stay open.
 GROUP_PIECES = 2500
+#: A task packs one group, or several once there would be more tasks than this; it holds this many pieces at most.
+MANY_TASKS, TASK_PIECES = 2000, 1_000_000
 #: Words, and bare words, whose ids a worker keeps.
 CACHE_WORDS = 1_000_000
+#: Bytes of the longest key that stays in the worker; others are encoded where they occur.
+LONGEST_KEY = 128
 #: Never the beginning of a contraction, so a cut beside these is one that the vocabulary's pattern makes.
 LAST_LATIN = "\u024f"
 PUNCTUATION = b'.,;:!?#*$%&|<>()"'
@@ -84,11 +89,18 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path(vocabulary))
-        self.tokenizer.encode_special_tokens = True
+        #: Written-out special tokens stand for themselves, across words if need be: texts that hold one are encoded whole.
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special_bytes = [t.encode() for t in self.special]
         self.words, self.parts = Recent(CACHE_WORDS), Recent(CACHE_WORDS)
 
+    def cut(self, word: bytes) -> tuple[bytes, ...]:
+        parts = self.bare(word)
+        # Lower case must not write out a special token that the text doesn't hold.
+        return (word,) if any(s in p for p in parts for s in self.special_bytes) else parts
+
     @staticmethod
-    def cut(word: bytes) -> tuple[bytes, ...]:
+    def bare(word: bytes) -> tuple[bytes, ...]:
         if word.isalnum():
             return (word.lower(),)
         bare = word.strip(PUNCTUATION)
@@ -121,10 +133,28 @@ class WordEncoder:
                 parts[part] = flat[at : (at := at + 4 * len(ids))]
         for word, cut in cuts.items():
             words[word] = parts[cut[0]] if len(cut) == 1 else b"".join([parts[p] for p in cut])
-        return [words[w] for w in distinct]
+        out = [words[w] for w in distinct]
+        for held, used in ((words, cuts), (parts, new)):
+            for key in used:
+                if len(key) > LONGEST_KEY:
+                    del held[key]
+        return out
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, first of each text and the end)."""
+        whole = np.zeros(len(texts), bool)
+        for content in self.special:
+            whole |= np.asarray(pc.match_substring(texts, content).fill_null(False))
+        if not whole.any():
+            return self.plain_ids(texts)
+        flat, first = self.plain_ids(pc.if_else(pa.array(whole), "", texts))
+        parts = [flat[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
+        for i in np.flatnonzero(whole):
+            parts[i] = np.array(self.tokenizer.encode(texts[int(i)].as_py(), add_special_tokens=False).ids, "<u4")
+        return np.concatenate(parts), np.cumsum([0, *map(len, parts)])
+
+    def plain_ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same for texts without special tokens."""
         split = pc.ascii_split_whitespace(texts.fill_null(""))
         first = np.asarray(split.offsets).astype(np.int64)
         coded = split.flatten().dictionary_encode()
@@ -225,26 +255,32 @@ def pack_lengths(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
 def pack(pieces: DataFrame, *, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """``pieces`` (with doc_id, piece, length) with sequence_id and offset; columns of these names are replaced.
 
-    Groups are dealt round robin, so that no id, source or length can make one of them large. Their size is
-    ``group_pieces``, and grows up to 100 times that before there are more than 2,000 of them.
+    Groups have about ``group_pieces`` pieces whatever the size of the table. Rows are dealt round robin, so that no id,
+    source or length can make a task large, and put in an order that a task run again finds as well.
     """
     prepare(pieces.sparkSession)
     pieces = pieces.drop("sequence_id", "offset")
     n = pieces.count()
-    groups = max(1, min(-(-n // group_pieces), max(2000, -(-n // (100 * group_pieces)))))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id bigint, offset bigint"
+    tasks = max(1, min(-(-n // group_pieces), max(MANY_TASKS, -(-n // TASK_PIECES))))
+    fields = [*pieces.schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
         if not held:
             return
-        rows = pa.Table.from_batches(held)
-        rows = rows.take(pc.sort_indices(rows, [("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")]))
-        bins, offsets = pack_lengths(np.asarray(rows.column("length")), capacity)
-        rows = rows.append_column("sequence_id", pa.array(bins * groups + TaskContext.get().partitionId()))
-        yield from rows.append_column("offset", pa.array(offsets)).combine_chunks().to_batches(max_chunksize=10_000)
-
-    return pieces.repartition(groups).mapInArrow(run, schema)
+        every = pa.Table.from_batches(held)
+        groups = max(1, round(every.num_rows / group_pieces))
+        edges = [every.num_rows * g // groups for g in range(groups + 1)]
+        number = TaskContext.get().partitionId() << 40
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            rows = every.slice(a, b - a).combine_chunks()
+            bins, offsets = pack_lengths(np.asarray(rows.column("length")), capacity)
+            rows = rows.append_column("sequence_id", pa.array(bins + number)).append_column("offset", pa.array(offsets))
+            number += int(bins.max()) + 1
+            yield from rows.combine_chunks().to_batches(max_chunksize=10_000)
+
+    order = [c for c, t in pieces.dtypes if t in ("int", "bigint")]
+    return pieces.repartition(tasks).sortWithinPartitions(F.xxhash64(*order), *order).mapInArrow(run, StructType(fields))
 
 
 def pack_documents(
