@@ -8,13 +8,22 @@ from pyspark.sql import functions as F
 from facetrank.sources.session import cut
 
 
+def dealt_anew(sums: DataFrame, key: str) -> DataFrame:
+    """An aggregate by ``key``, dealt by something else, so that a join on ``key`` shuffles both of its sides itself.
+
+    Spark splits a skewed partition only of such a join; one that takes an aggregate as it lies would put a hot key in one
+    task.
+    """
+    return sums.repartition(F.xxhash64(key))
+
+
 def _neighbour_minimum(edges: DataFrame) -> DataFrame:
     """(u, v, m): each edge with the smallest of u and all that u is linked with.
 
     A node with very many links is summed on the map side, and the join that follows can be split by Spark.
     """
     least = edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return edges.join(least.hint("merge"), "u")
+    return edges.join(dealt_anew(least, "u").hint("merge"), "u")
 
 
 def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import MapType, VariantType
 
 from facetrank.llm import text as K
-from facetrank.llm.components import components
+from facetrank.llm.components import components, dealt_anew
 from facetrank.sources.session import cut, prepare
 
 POSITIONS = 96
@@ -236,7 +236,7 @@ def _bucket_members(reps: DataFrame, positions: int, chunk: int, errors: int) ->
     """(key, id) of every bucket with two members or more."""
     keys = chunk_keys(reps, positions, chunk, errors)
     shared = keys.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("key")
-    return keys.join(shared.hint("merge"), "key")
+    return keys.join(dealt_anew(shared, "key").hint("merge"), "key")
 
 
 def _with_components(members: DataFrame, found: DataFrame | None) -> DataFrame:
@@ -255,7 +255,7 @@ def _open(members: DataFrame, found: DataFrame | None, number: int) -> DataFrame
     drawn = F.min(F.struct(F.xxhash64("id", F.lit(number)).alias("draw"), "id", "component")).alias("x")
     buckets = named.groupBy("key").agg(drawn, F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size"))
     buckets = buckets.where("low < high").select("key", F.col("x.id").alias("centre"), F.col("x.component").alias("home"), "size")
-    return named.join(buckets.hint("merge"), "key")
+    return named.join(dealt_anew(buckets, "key").hint("merge"), "key")
 
 
 def link_by_rounds(members: DataFrame, reps: DataFrame, sets: DataFrame, positions: int, percent: int) -> tuple[DataFrame, DataFrame]:

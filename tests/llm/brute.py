@@ -38,26 +38,27 @@ def shingles(text: str | None, size: int) -> set:
     return {tuple(words[i : i + size]) for i in range(len(words) - size + 1)} or {tuple(words)}
 
 
-def near_groups(docs: dict[int, str | None], size: int, percent: int = 80) -> dict[int, int]:
-    """id -> smallest id reachable."""
-    sets = {i: shingles(t, size) for i, t in docs.items()}
-    parent = {i: i for i in docs}
+def near_groups(docs: list[tuple[int, str | None]] | dict[int, str | None], size: int, percent: int = 80) -> dict[int, int]:
+    """id -> smallest id reachable; rows with one id are one node."""
+    rows = [(i, shingles(t, size)) for i, t in (docs.items() if isinstance(docs, dict) else docs)]
+    rows.sort(key=lambda r: len(r[1]))
+    parent = {i: i for i, _ in rows}
 
     def find(i: int) -> int:
         while parent[i] != i:
+            parent[i] = parent[parent[i]]
             i = parent[i]
         return i
 
-    ids = sorted(docs)
-    for n, a in enumerate(ids):
-        for b in ids[n + 1 :]:
-            x, y = sets[a], sets[b]
-            if x and y and min(len(x), len(y)) * 100 >= percent * max(len(x), len(y)):
-                common = len(x & y)
-                if 100 * common >= percent * (len(x) + len(y) - common):
-                    p, q = find(a), find(b)
-                    parent[max(p, q)] = min(p, q)
-    return {i: find(i) for i in docs}
+    for n, (a, x) in enumerate(rows):
+        for b, y in rows[n + 1 :]:
+            if len(x) * 100 < percent * len(y):
+                break
+            common = len(x & y)
+            if x and 100 * common >= percent * (len(x) + len(y) - common):
+                p, q = find(a), find(b)
+                parent[max(p, q)] = min(p, q)
+    return {i: find(i) for i in parent}
 
 
 def repeats(texts: list[str | None], length: int) -> list[np.ndarray]:

@@ -89,6 +89,64 @@ def test_near_chain_and_hot_group(spark):
     assert got == brute.near_groups({i: t for i, t, _ in rows}, 2)
 
 
+def test_near_large_groups(spark):
+    """2,000 near copies, as many that are alike but not linked, and pairs among those; no step may grow with pairs."""
+    rng = random.Random(6)
+    base, other = [f"w{i}" for i in range(80)], [f"t{i}" for i in range(60)]
+    rows = []
+    for i in range(2000):
+        words = list(base)
+        for _ in range(rng.randint(0, 9)):
+            words[rng.randrange(80)] = f"y{rng.randrange(100_000)}"
+        rows.append((i, " ".join(words), "s"))
+    for i in range(600):
+        words = other + [f"z{i // 2}_{k}" for k in range(24)]
+        if i % 2:
+            words[rng.randrange(84)] = "changed"
+        rows.append((5000 + i, " ".join(words), "s"))
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, DOCS), shingle=2).collect()}
+    assert got == brute.near_groups({i: t for i, t, _ in rows}, 2)
+
+
+def test_near_blocks(spark, monkeypatch):
+    """What rounds leave open, in blocks smaller than the group."""
+    monkeypatch.setattr(minhash, "ROUNDS", 1)
+    rows = [(i, " ".join([f"t{k}" for k in range(60)] + [f"z{i // 2}_{k}" for k in range(24)] + ["odd"] * (i % 2)), "s") for i in range(120)]
+    table = spark.createDataFrame(rows, DOCS)
+    reps = minhash.signatures(table, 2).withColumnRenamed("doc_id", "id")
+    members = minhash._bucket_members(reps, minhash.POSITIONS, minhash.CHUNK, minhash.ERRORS)
+    sets = minhash.full_sets(table, members, 2)
+    found, still = minhash.link_by_rounds(members, reps, sets, minhash.POSITIONS, 80)
+    links = minhash.confirm_across(still, sets, 80, block=16)
+    both = minhash.components(links.union(found.select("node", "component")))
+    assert {r["node"]: r["component"] for r in both.collect()} == {i: i - i % 2 for i in range(120)}
+
+
+def test_near_one_id_on_several_texts(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(1, a, "s"), (5, a, "s"), (5, b, "s"), (9, b + " more", "s"), (7, c, "s"), (2, c, "s"), (2, None, "s"), (None, a, "s")]
+    got = {(r["doc_id"], r["component_id"]) for r in minhash.near_duplicates(spark.createDataFrame(rows, DOCS), shingle=2).collect()}
+    want = brute.near_groups([(i, t) for i, t, _ in rows if i is not None], 2)
+    assert got - {(None, None)} == set(want.items()) == {(1, 1), (5, 1), (9, 1), (7, 2), (2, 2)}
+
+
+def thue_morse(n: int, one: str, two: str) -> str:
+    return "".join(two if bin(i).count("1") % 2 else one for i in range(n))
+
+
+def test_patterned_words(spark):
+    """Words that a polynomial hash modulo a power of two can't tell apart."""
+    x, y = thue_morse(2048, "a", "b"), thue_morse(2048, "b", "a")
+    rows = [(1, f"one {x} two", "s"), (2, f"one {y} two", "s"), (3, " ".join([x] * 8 + [y] * 8 + ["pad"] * 8), "s"), (4, " ".join([*"abcdefg", x, *"abcdefg", y, *map(str, range(20))]), "s")]
+    table = spark.createDataFrame(rows, DOCS)
+    near = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(table, shingle=2).collect()}
+    assert near == brute.near_groups({i: t for i, t, _ in rows}, 2) == {1: 1, 2: 2, 3: 3, 4: 4}
+    judged = {r["doc_id"]: r["n_repeat_words"] for r in quality.quality_rules(table).collect()}
+    assert judged == {i: brute.quality(t)[4] for i, t, _ in rows}
+    gone = brute.repeats([t for _, t, _ in rows], 200)
+    assert key(tuple(r) for r in suffix.repeat_report(table).collect()) == key((i, *brute.repeat_row(t, g)) for (i, t, _), g in zip(rows, gone, strict=True))
+
+
 def test_keep_one(spark, docs):
     out = minhash.keep_one(docs, shingle=5)
     want = brute.near_groups({r["doc_id"]: r["text"] for r in docs.collect()}, 5)
@@ -110,9 +168,9 @@ def test_expansion_units():
         assert {(i, j) for i, a, b in suffix.repeated(parts, weights, length) for j in range(a, b)} == want
 
 
-@pytest.mark.parametrize("hot", [suffix.HOT_SEGMENTS, 1])
+@pytest.mark.parametrize("hot", [suffix.HOT_BYTES, 1])
 def test_repeats(spark, docs, hot, monkeypatch):
-    monkeypatch.setattr(suffix, "HOT_SEGMENTS", hot)
+    monkeypatch.setattr(suffix, "HOT_BYTES", hot)
     monkeypatch.setattr(suffix, "BATCH_BYTES", 1 << 16)
     rows = docs.union(docs.where("doc_id < 3").withColumn("doc_id", F.lit(None).cast("bigint"))).collect()
     table = spark.createDataFrame(rows, docs.schema)
@@ -121,6 +179,23 @@ def test_repeats(spark, docs, hot, monkeypatch):
     assert suffix.repeat_report(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("hot", [suffix.HOT_BYTES, 4000])
+def test_passage_in_many_documents(spark, hot, monkeypatch):
+    """One passage, whole or in part, in 20,000 documents that all go on in their own way."""
+    monkeypatch.setattr(suffix, "HOT_BYTES", hot)
+    rng = random.Random(7)
+    words = [f"{a}{b}" for a in ("ba", "do", "ki", "lu", "me") for b in ("rra", "shi", "ton", "vel", "xo")]
+    passage = " ".join(rng.choice(words) for _ in range(80))
+    rows = []
+    for i in range(20_000 if hot > 4000 else 2_000):
+        own = [" ".join(rng.choice(words) + str(rng.randrange(10**6)) for _ in range(6)) for _ in range(2)]
+        part = passage if rng.random() < 0.9 else passage[rng.randrange(100) : rng.randrange(250, 480)]
+        rows.append((i, f"{own[0]} {part} {own[1]}", "s"))
+    want = [(i, *brute.repeat_row(t, g)) for (i, t, _), g in zip(rows, brute.repeats([t for _, t, _ in rows], 200), strict=True)]
+    got = suffix.repeat_report(spark.createDataFrame(rows, DOCS).repartition(8)).collect()
+    assert key(tuple(r) for r in got) == key(want)
+
+
 def test_remove_repeats_keeps_characters(spark, docs):
     out = suffix.remove_repeats(docs)
     assert out.columns == docs.columns and out.count() == docs.count()
@@ -178,13 +253,50 @@ def test_urls(spark):
     assert urls.url_filter(pages.limit(0)).count() == 0
 
 
+def test_urls_plain(spark):
+    """Host, path, rule and ruled verdicts of whole pages, by string operations."""
+    pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url")
+    odd = [None, "", "://", "a://b://c/d?e", "HTTP://X.COM/EN/", "http://com/en/1", "http://Com#/en/", "x://a.net/de/?/", "http://é.ORG/es/ü", "http://İ.net/de/1"]
+    pages = pages.union(spark.createDataFrame([(-i - 1, u) for i, u in enumerate(odd)], "page_id bigint, url string"))
+
+    def plain(url):
+        host, path = "", ""
+        if url and "://" in url:
+            rest = url.partition("://")[2]
+            end = min((rest.find(c) for c in "/?#" if c in rest), default=len(rest))
+            host, rest = brute.lower(rest[:end]), rest[end:]
+            path = rest[: min((rest.find(c) for c in "?#" if c in rest), default=len(rest))]
+        best = None
+        for r in urls.RULES:
+            name, _, start = r.rule.partition("/")
+            if (host == name or host.endswith("." + name)) and path.startswith("/" + start) and (best is None or len(r.rule) > len(best.rule)):
+                best = r
+        return host, path, best and best.rule, best and best.verdict
+
+    got = {r["page_id"]: r for r in urls.url_filter(pages).collect()}
+    for r in pages.collect():
+        host, path, rule, verdict = plain(r["url"])
+        mine = got[r["page_id"]]
+        assert (mine["host"], mine["path"], mine["rule"]) == (host, path, rule) and mine["verdict"] in ((verdict,) if rule else ("allow", "block"))
+
+
 def test_urls_held_out(spark):
-    rows = urls.parse(spark.read.parquet("/root/testdata/sf0.1/pages.parquet"))
-    model = urls.train(urls.labelled(rows, 1000))
-    unseen = rows.where("ruled IS NOT NULL").withColumn("truth", F.col("ruled")).withColumn("ruled", F.lit(None).cast("string"))
-    unseen = unseen.orderBy(F.xxhash64("host", "path"), "host", "path").offset(500)
-    judged = urls.verdicts(unseen, model)
-    assert judged.agg(F.avg((F.col("truth") == F.col("verdict")).cast("int"))).first()[0] > 0.7
+    """Accuracy on rows of the labelled table that training doesn't see, and on hosts that no rule knows."""
+    table = urls.labelled(spark).withColumn("part", F.pmod(F.xxhash64("host"), F.lit(5)))
+    model = urls.train(table.where("part > 0"))
+    unseen = table.where("part = 0").select("host", "path", F.lit(None).cast("string").alias("ruled"), "label")
+    right = F.avg((F.col("verdict") == F.when(F.col("label") == 1, "block").otherwise("allow")).cast("int"))
+    assert urls.verdicts(unseen, model).agg(right).first()[0] > 0.85
+    judged = urls.url_filter(spark.read.parquet("/root/testdata/sf0.1/pages.parquet")).where("rule IS NULL")
+    unwanted = F.col("host").rlike("(adult-x|ads-track|casino-win|cheap-pills|free-bets|spam-farm)")
+    assert judged.agg(F.avg((unwanted == (F.col("verdict") == "block")).cast("int"))).first()[0] > 0.98
+
+
+def test_urls_own_table(spark):
+    pages = spark.createDataFrame([(1, "http://aaaa.com/"), (2, "http://bbbb.com/"), (3, "http://x.com/en/")], "page_id bigint, url string")
+    table = spark.createDataFrame([("aaaa.com", "/", 1.0), ("bbbb.com", "/", 0.0)] * 3, "host string, path string, label double")
+    assert [r["verdict"] for r in urls.url_filter(pages, table=table).orderBy("page_id").collect()] == ["block", "allow", "block"]
+    assert [r["verdict"] for r in urls.url_filter(pages, table=table.limit(0)).orderBy("page_id").collect()] == ["allow", "allow", "block"]
 
 
 def test_token_counts(spark, docs):
@@ -221,6 +333,32 @@ def test_sharding(spark, docs):
         sharding.lookup_table(names, 65_536)
 
 
+def test_sharding_query(spark):
+    """The whole query against an independent filling of the table and another implementation of the hash."""
+    xxhash = pytest.importorskip("xxhash")
+    from facetrank.llm.queries import op4_sharding
+
+    names, size = [f"shard-{i:03d}" for i in range(64)], 65_537
+
+    def order(name):
+        begin, step = (int(hashlib.sha256(f"{use}:{name}".encode()).hexdigest()[:16], 16) for use in ("offset", "step"))
+        return ((begin + k * (step % (size - 1) + 1)) % size for k in range(size))
+
+    orders = list(map(order, names))
+    owner = {}
+    while len(owner) < size:
+        for name, places in zip(names, orders, strict=True):
+            free = next((s for s in places if s not in owner), None)
+            if free is not None:
+                owner[free] = name
+    got = op4_sharding(spark, SF).collect()
+    assert len(got) == spark.read.parquet(f"{SF}/documents.parquet").count()
+    for r in got:
+        hashed = xxhash.xxh64_intdigest(r["doc_id"].to_bytes(8, "little", signed=True), seed=42)
+        hashed -= (hashed >= 1 << 63) << 64
+        assert (r["slot"], r["shard"]) == (hashed % size, owner[hashed % size])
+
+
 def test_bpe(spark, docs):
     tiktoken = pytest.importorskip("tiktoken")
     name = "byte_bpe_multi_50k.tiktoken"
@@ -269,7 +407,8 @@ def check_packing(rows, capacity):
 def test_packing(spark, docs):
     tokenizers = pytest.importorskip("tokenizers")
     theirs = tokenizers.Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    theirs.encode_special_tokens = True
+    special = [(3 * 10**6 + i, t, "s") for i, t in enumerate(["see <|endoftext|> here", "x<|ENDOFTEXT|>y <|startoftext|>it's<|endoftext|>'s", "<|endoftext|>" * 2100, "a<|endoftext|", "<|end oftext|>"])]
+    docs = docs.select("doc_id", "text", "source", "offset").union(spark.createDataFrame(special, DOCS).withColumn("offset", F.lit("")))
     got = packing.pack_documents(docs, vocabulary="word_bpe_49k.json").collect()
     want = []
     for r in docs.collect():
@@ -283,9 +422,8 @@ def test_packing(spark, docs):
 
 def test_word_encoder():
     theirs = pytest.importorskip("tokenizers").Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    theirs.encode_special_tokens = True
     encoder, rng = packing.WordEncoder("word_bpe_49k.json"), random.Random(4)
-    letters = [*"aBé'ß9²Ⅷ.,-!#—<≯̱Σς‘’ _\"() İǅ한sStTmMdDrevl", "'s", "don't", "'LL", " ", "\n"]
+    letters = [*"aBé'ß9²Ⅷ.,-!#—<≯̱Σς‘’ _\"() İǅ한sStTmMdDrevl", "'s", "don't", "'LL", " ", "\n", "<|endoftext|>", "<|STARTOFTEXT|>"]
     for _ in range(4000):
         text = "".join(rng.choice(letters) for _ in range(rng.randint(0, 14)))
         assert encoder.ids(pa.array([text]))[0].tolist() == theirs.encode(text, add_special_tokens=False).ids
@@ -314,9 +452,12 @@ def brute_top(rows, k=5, every=50):
     return sorted(out)
 
 
-@pytest.mark.parametrize("block", [2048, 60])
+@pytest.mark.parametrize("block", [2048, 60, 7])
 def test_top_k(spark, block):
+    """Also with lengths that differ, so that bands fall away."""
     rows = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding")
+    if block == 7:
+        rows = rows.withColumn("embedding", F.transform("embedding", lambda x: x * (1 + F.pow(F.col("vec_id") % 23, F.lit(2)))))
     assert sorted(tuple(r) for r in topk.top_k(rows, block=block).collect()) == brute_top(rows.collect())
 
 
