@@ -7,6 +7,7 @@ concept's sample in one Python group per concept, so concepts are fitted in para
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -16,6 +17,9 @@ from pyspark.sql import functions as F
 from facetrank.functions.numeric import constant, let, lit, sum_of
 from facetrank.sources.session import prepare
 
+#: Labelled rows of a concept that a boosted fit learns from.
+MAX_ROWS = 200_000
+
 
 def histograms(coded: DataFrame, codes: str, label: str, dim: int, bins: int) -> DataFrame:
     """(coord, bin, pos, neg) over the full grid of coordinates and bins."""
@@ -31,7 +35,8 @@ def llr_stats(counts: DataFrame, bins: int, alpha: float = 1.0, tau: float | Non
     """(coord, bin, llr, strength, mi) from histograms.
 
     Laplace smoothing with ``alpha``, or empirical-Bayes smoothing where ``tau`` is given: ``tau`` pseudo-counts are
-    spread as the coordinate's own marginal is. Strength is the expected absolute ratio, mi the mutual information.
+    spread as the coordinate's own marginal is. Strength is the divergence of the two distributions in both directions, mi
+    what a bin says of a label that is as often 1 as 0.
     """
     w = Window.partitionBy("coord")
     rows = counts.withColumns({"n1": F.sum("pos").over(w), "n0": F.sum("neg").over(w), "m": F.col("pos") + F.col("neg")})
@@ -41,10 +46,10 @@ def llr_stats(counts: DataFrame, bins: int, alpha: float = 1.0, tau: float | Non
     else:
         prior = (F.col("m") + alpha) / (n + alpha * bins)
         p1, p0 = (F.col("pos") + tau * prior) / (F.col("n1") + tau), (F.col("neg") + tau * prior) / (F.col("n0") + tau)
-    rows = rows.withColumns({"p1": p1, "p0": p0, "marginal": F.col("m") / n, "rate": F.col("n1") / n}).withColumn("llr", F.log(F.col("p1") / F.col("p0")))
-    mixed = F.col("rate") * F.col("p1") + (1 - F.col("rate")) * F.col("p0")
-    part = F.col("rate") * F.col("p1") * F.log(F.col("p1") / mixed) + (1 - F.col("rate")) * F.col("p0") * F.log(F.col("p0") / mixed)
-    return rows.select("coord", "bin", "llr", F.sum(F.col("marginal") * F.abs("llr")).over(w).alias("strength"), F.sum(part).over(w).alias("mi"))
+    rows = rows.withColumns({"p1": p1, "p0": p0}).withColumn("llr", F.log(F.col("p1") / F.col("p0")))
+    both = F.col("p1") + F.col("p0")
+    part = F.col("p1") * F.log(2 * F.col("p1") / both) + F.col("p0") * F.log(2 * F.col("p0") / both)
+    return rows.select("coord", "bin", "llr", F.sum((F.col("p1") - F.col("p0")) * F.col("llr")).over(w).alias("strength"), (F.sum(part).over(w) / 2).alias("mi"))
 
 
 def strongest(stats: DataFrame, k: int) -> DataFrame:
@@ -92,57 +97,82 @@ def newton_round(coded: DataFrame, codes: str, label: str, margin: Column, l2: f
     return sums.select("coord", "bin", (F.col("g") / (F.col("h") + l2)).alias("step"), gain.alias("gain"))
 
 
-def _newton(q: np.ndarray, g: np.ndarray, h: np.ndarray, bins: int, l2: float) -> tuple[np.ndarray, float]:
-    """Steps of all bins of one code column, and their gain."""
-    gs, hs = np.bincount(q, g, bins), np.bincount(q, h, bins)
-    return gs / (hs + l2), float((gs**2 / (hs + l2)).sum() / 2)
+class _Cells:
+    """Sums over the bins of several code columns at once: column c's bin b is cell c * bins + b."""
+
+    def __init__(self, columns: np.ndarray, bins: int):
+        self.n, self.bins = columns.shape[1], bins
+        self.cell = (columns + np.arange(self.n) * bins).ravel()
+
+    def sums(self, weights: np.ndarray) -> np.ndarray:
+        return np.bincount(self.cell, np.repeat(weights, self.n), self.n * self.bins).reshape(self.n, self.bins)
+
+    def steps(self, g: np.ndarray, h: np.ndarray, l2: float) -> tuple[np.ndarray, np.ndarray]:
+        """Newton steps of all bins, and the gain of each column."""
+        gs, hs = self.sums(g), self.sums(h) + l2
+        return gs / hs, (gs * gs / hs).sum(axis=1) / 2
+
+
+def _slopes(y: np.ndarray, margin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    e = np.exp(-np.abs(margin))
+    p = np.clip(np.where(margin >= 0, 1, e) / (1 + e), 1e-6, 1 - 1e-6)
+    return y - p, p * (1 - p)
+
+
+def _divergence(codes: np.ndarray, y: np.ndarray, bins: int) -> np.ndarray:
+    """Strength of each coordinate as in :func:`llr_stats`, with ``bins`` pseudo-counts."""
+    cells = _Cells(codes, bins)
+    one, zero = cells.sums(y), cells.sums(1 - y)
+    prior = (one + zero + 1) / ((one + zero).sum(axis=1, keepdims=True) + bins)
+    p1, p0 = ((x + bins * prior) / (x.sum(axis=1, keepdims=True) + bins) for x in (one, zero))
+    return ((p1 - p0) * np.log(p1 / p0)).sum(axis=1)
 
 
-def boost(codes: np.ndarray, y: np.ndarray, *, k: int, bins: int, pool: int = 128, l2: float = 6.0, rate: float = 0.55, refine: int = 1, pairs: int = 0, pair_l2: float = 10.0) -> tuple[float, list[tuple]]:
-    """(intercept, terms): greedily chosen tables, each refitted in turn, then pair tables on what is left.
+def boost(codes: np.ndarray, y: np.ndarray, *, k: int, bins: int, pool: int = 128, l2: float = 6.0, rate: float = 0.55, refine: int = 1, pairs: int = 0, pair_pool: int = 16, pair_l2: float = 10.0, pair_rate: float = 0.5) -> tuple[float, list[tuple]]:
+    """(intercept, terms): tables chosen greedily by gain, each then fitted afresh beside the others, then pair tables.
 
-    A term is (coordinate, -1, entries) or (coordinate, coordinate, entries of the joint bin q1 * bins + q2).
+    Candidates are the ``pool`` coordinates of the greatest strength; a chosen table is damped by ``rate``, a refitted one
+    is not. Pairs are of the first ``pair_pool`` coordinates chosen. A term is (coordinate, -1, entries) or (coordinate,
+    coordinate, entries of the joint bin q1 * bins + q2). Of equal gains the first candidate goes.
     """
-    n, dim = codes.shape
-    start = np.log((y.sum() + 0.5) / (n - y.sum() + 0.5))
-    margin = np.full(n, start)
-
-    def gradient() -> tuple[np.ndarray, np.ndarray]:
-        p = 1 / (1 + np.exp(-np.clip(margin, -40, 40)))
-        return y - p, np.maximum(p * (1 - p), 1e-6)
-
-    g, h = gradient()
-    first = sorted(range(dim), key=lambda j: (-_newton(codes[:, j], g, h, bins, l2)[1], j))[:pool]
-    chosen: dict[int, np.ndarray] = {}
-    for _ in range(min(k, len(first))):
-        g, h = gradient()
-        j = max((x for x in first if x not in chosen), key=lambda x: (_newton(codes[:, x], g, h, bins, l2)[1], -x))
-        chosen[j] = rate * _newton(codes[:, j], g, h, bins, l2)[0]
-        margin += chosen[j][codes[:, j]]
-    for _ in range(refine):
-        for j in chosen:
-            g, h = gradient()
-            more = rate * _newton(codes[:, j], g, h, bins, l2)[0]
-            chosen[j] += more
-            margin += more[codes[:, j]]
-    terms = [(j, -1, row.tolist()) for j, row in chosen.items()]
-    names = sorted(chosen)[:16]
-    free = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
-    for _ in range(min(pairs, len(free))):
-        g, h = gradient()
-        a, b = max(free, key=lambda ab: (_newton(codes[:, ab[0]] * bins + codes[:, ab[1]], g, h, bins * bins, pair_l2)[1], -ab[0], -ab[1]))
-        free.remove((a, b))
-        joint = codes[:, a] * bins + codes[:, b]
-        row = 0.5 * _newton(joint, g, h, bins * bins, pair_l2)[0]
-        margin += row[joint]
-        terms.append((a, b, row.tolist()))
+    start = np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
+    margin = np.full(len(y), start)
+    pool_of = np.argsort(-_divergence(codes, y, bins), kind="stable")[:pool]
+    cells, left = _Cells(codes[:, pool_of], bins), np.ones(len(pool_of), bool)
+    order: list[int] = []
+    entries: dict[int, np.ndarray] = {}
+    for _ in range(min(k, len(pool_of))):
+        steps, gains = cells.steps(*_slopes(y, margin), l2)
+        at = int(np.argmax(np.where(left, gains, -np.inf)))
+        left[at] = False
+        j = int(pool_of[at])
+        order.append(j)
+        entries[j] = rate * steps[at]
+        margin += entries[j][codes[:, j]]
+    for j in order * refine:
+        margin -= entries[j][codes[:, j]]
+        entries[j] = _Cells(codes[:, [j]], bins).steps(*_slopes(y, margin), l2)[0][0]
+        margin += entries[j][codes[:, j]]
+    terms: list[tuple] = [(j, -1, entries[j].tolist()) for j in order]
+    candidates = list(combinations(order[:pair_pool], 2))
+    if pairs and candidates:
+        joint = np.stack([codes[:, a] * bins + codes[:, b] for a, b in candidates], axis=1)
+        cells, left = _Cells(joint, bins * bins), np.ones(len(candidates), bool)
+        for _ in range(min(pairs, len(candidates))):
+            steps, gains = cells.steps(*_slopes(y, margin), pair_l2)
+            at = int(np.argmax(np.where(left, gains, -np.inf)))
+            left[at] = False
+            row = pair_rate * steps[at]
+            margin += row[joint[:, at]]
+            terms.append((*candidates[at], row.tolist()))
     return float(start), terms
 
 
-def fit_boosted(samples: DataFrame, *, concept: str = "concept", codes: str = "codes", label: str = "label", bins: int, k: int = 28, pairs: int = 0) -> DataFrame:
+def fit_boosted(samples: DataFrame, *, concept: str = "concept", codes: str = "codes", label: str = "label", bins: int, k: int = 28, pairs: int = 0, max_rows: int = MAX_ROWS) -> DataFrame:
     """(concept, intercept, terms array<struct<coord, other, entries>>), one concept's sample a group.
 
-    Samples are what the fit needs of a concept (a bounded number of labelled rows), not the whole table.
+    A fit learns from about ``max_rows`` labelled rows of a concept at most, drawn by a hash, so that a group fits in a
+    task however large the table is. Scores are for all rows.
     """
     prepare(samples.sparkSession)
     schema = "concept string, intercept double, terms array<struct<coord:int, other:int, entries:array<double>>>"
@@ -154,7 +184,14 @@ def fit_boosted(samples: DataFrame, *, concept: str = "concept", codes: str = "c
 
     names = [F.col(concept).cast("string").alias("concept"), F.col(codes).alias("codes"), F.col(label).cast("int").alias("label")]
     extra = [F.col("id")] if "id" in samples.columns else []
-    return samples.select(*names, *extra).groupBy("concept").applyInPandas(run, schema)
+    rows = samples.select(*names, *extra)
+    counts = {r["concept"]: r["n"] for r in rows.groupBy("concept").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a concept
+    drawn = F.lit(True)
+    for name, n in counts.items():
+        if n > max_rows:
+            share = F.pmod(F.xxhash64(*(extra or [F.col("codes")]), F.lit(7)), F.lit(1 << 20)) < F.lit(int(max_rows / n * (1 << 20)))
+            drawn = drawn & ((F.col("concept") != F.lit(name)) | share)
+    return rows.where(drawn).groupBy("concept").applyInPandas(run, schema)
 
 
 def boosted_score(codes: Column | str, intercept: float, terms: Sequence[tuple], bins: int) -> Column:

@@ -29,7 +29,7 @@ PARTS = {
     "pair": "SELECT a.vec_id, a.s AS s3, b.s AS s7 FROM raw a JOIN raw b USING (vec_id) WHERE a.k = 3 AND b.k = 7",
     "sem": """SELECT vec_id, (least(s3, 0) - ln(1 + exp(-abs(s3))) + least(-s7, 0) - ln(1 + exp(-abs(s7)))) / 2 AS semantic FROM pair""",
     "dense": """SELECT q.vec_id AS query_id, i.vec_id, i.label,
-        list_dot_product(i.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS dense FROM embeddings i, embeddings q WHERE q.vec_id < 10""",
+        list_dot_product(i.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS dense FROM embeddings i, embeddings q WHERE q.vec_id % 20 = 0""",
     "facets": """SELECT e.vec_id, e.embedding, coalesce(p.p_brand, 'Unknown') AS brand, coalesce(p.p_type, 'Unknown') AS type,
         coalesce(p.p_size::VARCHAR, 'Unknown') AS size FROM embeddings e LEFT JOIN part p ON e.vec_id = p.p_partkey""",
     "edges": "SELECT pos, quantile_cont(v, [0.25, 0.5, 0.75]) AS e FROM x GROUP BY pos",
@@ -101,9 +101,9 @@ def lsig(z: str) -> str:
 
 
 LLR = """SELECT coord, bin, {llr}, {strength}, {mi} FROM (
-    SELECT coord, bin, llr, sum(m / (n1 + n0) * abs(llr)) OVER w AS strength,
-    sum(rate * p1 * ln(p1 / mixed) + (1 - rate) * p0 * ln(p0 / mixed)) OVER w AS mi FROM (
-    SELECT *, ln(p1 / p0) AS llr, n1 / (n1 + n0) AS rate, n1 / (n1 + n0) * p1 + (1 - n1 / (n1 + n0)) * p0 AS mixed FROM ({smooth})) WINDOW w AS (PARTITION BY coord))"""
+    SELECT coord, bin, llr, sum((p1 - p0) * llr) OVER w AS strength,
+    sum(p1 * ln(2 * p1 / (p1 + p0)) + p0 * ln(2 * p0 / (p1 + p0))) OVER w / 2 AS mi FROM (
+    SELECT *, ln(p1 / p0) AS llr FROM ({smooth})) WINDOW w AS (PARTITION BY coord))"""
 LAPLACE = "SELECT coord, bin, m::DOUBLE AS m, n1::DOUBLE AS n1, n0::DOUBLE AS n0, (p + 1.0::DOUBLE) / (n1 + 4) AS p1, (n + 1.0::DOUBLE) / (n0 + 4) AS p0 FROM tot"
 BAYES = """SELECT coord, bin, m::DOUBLE AS m, n1::DOUBLE AS n1, n0::DOUBLE AS n0, (p + 16 * (m + 1.0::DOUBLE) / (n1 + n0 + 4)) / (n1 + 16) AS p1,
     (n + 16 * (m + 1.0::DOUBLE) / (n1 + n0 + 4)) / (n0 + 16) AS p0 FROM tot"""
@@ -139,14 +139,12 @@ SQL: dict[str, str] = {
     "semantic_topk": f"SELECT vec_id, {r6('semantic * 2', 'score')} FROM sem ORDER BY semantic DESC, vec_id LIMIT 20",
     "early_exit_topk": f"SELECT vec_id, {r6('semantic * 2', 'score')} FROM sem ORDER BY semantic DESC, vec_id LIMIT 20",
     "semantic_topk_negated": f"SELECT vec_id, {r6('score')} FROM (SELECT vec_id, {lsig('-l7')} + {lsig('-l2')} AS score FROM ({RAW_WIDE})) ORDER BY score DESC, vec_id LIMIT 20",
-    "candidate_scores": f"SELECT i AS pos, vec_id, {r6(lsig('l1') + ' + ' + lsig('l2'), 'score')} FROM range(0, 300) t(i) JOIN ({RAW_WIDE}) ON vec_id = (i * 7) % 100",
     "dense_topk": f"SELECT query_id, rank::INTEGER AS rank, vec_id, {r6('dense')} FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dense DESC, vec_id) AS rank FROM dense WHERE vec_id <> query_id) WHERE rank <= 10",
     "dense_pool_exact_filter": f"SELECT vec_id, (row_number() OVER (ORDER BY dense DESC, vec_id))::INTEGER AS rank, {r6('dense')} FROM (SELECT vec_id, dense FROM dense WHERE query_id = 0 AND vec_id <> 0 ORDER BY dense DESC, vec_id LIMIT 200) JOIN facets USING (vec_id) WHERE type = 'STANDARD' ORDER BY dense DESC, vec_id LIMIT 20",
     "facet_counts": "SELECT brand, type, count(*) AS n FROM facets GROUP BY brand, type",
     "gate_table": f"SELECT (i - 1)::INTEGER AS gate_index, f AS fraction, {r6('g', 'gate')}, n AS eligible, {r6('n / n_all', 'eligible_fraction')} FROM (SELECT i, f, g, n_all, (SELECT count(*) FROM sem WHERE semantic >= g) AS n FROM (SELECT i, ([0.5, 0.2, 0.1, 0.05, 0.001]::DOUBLE[])[i] AS f, (SELECT quantile_cont(semantic, [0.5, 0.8, 0.9, 0.95, 0.999]) FROM sem)[i] AS g, (SELECT count(*) FROM sem) AS n_all FROM range(1, 6) t(i)) WHERE f * n_all >= 11)",
     "gated_truth_topk": f"SELECT query_id, rank::INTEGER AS rank, vec_id, {r6('dense')} FROM truth",
-    "overfetch_recall": f"SELECT query_id, multiplier, hits, n_truth, {r6('CASE WHEN n_truth = 0 THEN 1 ELSE hits / n_truth END', 'recall')} FROM (SELECT q AS query_id, m AS multiplier, (SELECT count(*) FROM fetched f JOIN truth t ON f.query_id = t.query_id AND f.vec_id = t.vec_id WHERE f.query_id = q AND f.multiplier = m) AS hits, (SELECT count(*) FROM truth t WHERE t.query_id = q) AS n_truth FROM range(0, 10) a(q), (SELECT unnest([0.5, 1.0, 2.0]::DOUBLE[]) AS m))",
-    "label_threshold": "SELECT vec_id, (dense >= (SELECT quantile_cont(dense, 0.6) FROM dense WHERE query_id = 0 AND vec_id % 2 = 0))::INTEGER AS label FROM dense WHERE query_id = 0",
+    "overfetch_recall": f"SELECT query_id, multiplier, hits, n_truth, {r6('CASE WHEN n_truth = 0 THEN 1 ELSE hits / n_truth END', 'recall')} FROM (SELECT q AS query_id, m AS multiplier, (SELECT count(*) FROM fetched f JOIN truth t ON f.query_id = t.query_id AND f.vec_id = t.vec_id WHERE f.query_id = q AND f.multiplier = m) AS hits, (SELECT count(*) FROM truth t WHERE t.query_id = q) AS n_truth FROM (SELECT vec_id FROM embeddings WHERE vec_id % 20 = 0) a(q), (SELECT unnest([0.5, 1.0, 2.0]::DOUBLE[]) AS m))",
     "uniform_codes": "SELECT vec_id, x.pos::INTEGER AS pos, round_even((least(greatest(v, q[1]), q[2]) - q[1]) / greatest(q[2] - q[1], 1e-12) * 15, 0)::INTEGER AS code FROM x JOIN (SELECT pos, quantile_cont(v, [0.005, 0.995]) AS q FROM x GROUP BY pos) USING (pos)",
     "quantile_codes": "SELECT vec_id, pos::INTEGER AS pos, code FROM q2",
     "packed_small_codes": "SELECT vec_id, pos::INTEGER AS pos, code FROM q2",
@@ -169,7 +167,6 @@ SQL: dict[str, str] = {
     "best_f1_threshold": f"SELECT {r6('threshold')}, {r6('2 * tp / (n + total)', 'f1')} FROM curve ORDER BY tp / (n + total) DESC, threshold LIMIT 1",
     "f1_at_zero": f"SELECT tp, n, total, {r6('2 * tp / (n + total)', 'f1')} FROM (SELECT count(*) FILTER (score >= 0 AND y = 1) AS tp, count(*) FILTER (score >= 0) AS n, count(*) FILTER (y = 1) AS total FROM y3)",
     "average_precision": f"SELECT {r6('sum(p * tp / n) / max(total)', 'average_precision')} FROM curve",
-    "geometry_corr": f"SELECT count(*) AS n, {r6('corr(d, h)', 'corr')} FROM (SELECT list_dot_product(ea.embedding::DOUBLE[], eb.embedding::DOUBLE[]) AS d, 1 - (bit_count(xor(a.w0, b.w0))::BIGINT + bit_count(xor(a.w1, b.w1))::BIGINT) / 64 AS h FROM (SELECT i % 500 AS i, (i * 37 + 11) % 500 AS j FROM range(0, 2000) t(i)) p JOIN codes a ON a.vec_id = p.i JOIN codes b ON b.vec_id = p.j JOIN embeddings ea ON ea.vec_id = p.i JOIN embeddings eb ON eb.vec_id = p.j WHERE p.i <> p.j)",
     "latency_stats": f"SELECT event_type, max(n) AS n, {r6('max(v) FILTER (r = n // 2 + 1)', 'median')}, {r6('max(v) FILTER (r = greatest(1, ceil(n * 0.95::DOUBLE)))', 'p95')} FROM (SELECT event_type, value AS v, row_number() OVER (PARTITION BY event_type ORDER BY value) AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL) GROUP BY event_type",
     "exact_filter_candidates": "SELECT * FROM (" + " UNION ALL ".join([f"SELECT '{f}' AS field1, {f} AS value1, NULL::VARCHAR AS field2, NULL::VARCHAR AS value2, count(*) AS n FROM facets WHERE {f} <> 'Unknown' GROUP BY {f}" for f in ("brand", "type", "size")] + [f"SELECT '{a}', {a}, '{b}', {b}, count(*) FROM facets WHERE {a} <> 'Unknown' AND {b} <> 'Unknown' GROUP BY {a}, {b}" for a, b in (("brand", "type"), ("type", "size"))]) + ") WHERE n >= 20",
     "split_strict": "SELECT split, count(*) AS n FROM (SELECT CASE WHEN r <= t THEN 'test' WHEN r <= t + ceil((n - t) * 0.2::DOUBLE) THEN 'cal' ELSE 'fit' END AS split FROM (SELECT row_number() OVER () AS r, count(*) OVER () AS n, ceil(count(*) OVER () * 0.35::DOUBLE) AS t FROM embeddings)) GROUP BY split",
@@ -177,9 +174,8 @@ SQL: dict[str, str] = {
     "concept_counts": "SELECT label, count(*) AS n, (row_number() OVER (ORDER BY count(*) DESC, label))::INTEGER AS rank FROM embeddings GROUP BY label",
     "truth_mask": "SELECT doc_id FROM labels WHERE quality = 1 AND NOT toxic = 1",
     "storage": "SELECT method, item_bytes, program_bytes, shared_bytes, 5000000 * item_bytes + 100000 * program_bytes + shared_bytes AS total_bytes, round((5000000 * item_bytes + 100000 * program_bytes + shared_bytes) / 1e6, 6) + 0.0 AS total_mb FROM (VALUES ('binary1_ls2_int4', 56::BIGINT, 216::BIGINT, 0::BIGINT), ('pq64_linear', 64, 1548, 393216), ('lut_2bit', 96, 580, 0), ('lut_4bit', 192, 3652, 0), ('fp32_linear', 1536, 1548, 0), ('dense', 1536, 0, 0)) t(method, item_bytes, program_bytes, shared_bytes)",
-    "tiled_codes": "SELECT i AS tile_id, vec_id, w0, pop FROM range(0, 1300) t(i) JOIN codes ON vec_id = i % 500",
-    "set_operations": "SELECT kind, vec_id FROM (WITH t AS (SELECT query_id, vec_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dense DESC, vec_id) AS rank FROM dense WHERE query_id < 2) WHERE rank <= 100), a AS (SELECT vec_id FROM t WHERE query_id = 0), b AS (SELECT vec_id FROM t WHERE query_id = 1) SELECT 'union_all' AS kind, vec_id FROM (SELECT * FROM a UNION ALL SELECT * FROM b) UNION ALL SELECT 'union', vec_id FROM (SELECT * FROM a UNION SELECT * FROM b) UNION ALL SELECT 'intersect', vec_id FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'except', vec_id FROM (SELECT * FROM a EXCEPT SELECT * FROM b))",
-    "result_parity": "SELECT q AS query_id, TRUE AS same FROM range(0, 10) t(q)",
+    "set_operations": "SELECT kind, vec_id FROM (WITH t AS (SELECT query_id, vec_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dense DESC, vec_id) AS rank FROM dense WHERE query_id IN (0, 20)) WHERE rank <= 100), a AS (SELECT vec_id FROM t WHERE query_id = 0), b AS (SELECT vec_id FROM t WHERE query_id = 20) SELECT 'union_all' AS kind, vec_id FROM (SELECT * FROM a UNION ALL SELECT * FROM b) UNION ALL SELECT 'union', vec_id FROM (SELECT * FROM a UNION SELECT * FROM b) UNION ALL SELECT 'intersect', vec_id FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'except', vec_id FROM (SELECT * FROM a EXCEPT SELECT * FROM b))",
+    "result_parity": "SELECT q AS query_id, TRUE AS same FROM (SELECT vec_id FROM embeddings WHERE vec_id % 20 = 0) t(q)",
     "query_mentions": "SELECT doc_id, regexp_matches(lower(text), '(^|[^a-z0-9])the([^a-z0-9]|$)') AS has_the, regexp_matches(lower(text), '(^|[^a-z0-9])de la([^a-z0-9]|$)') AS has_de_la FROM documents",
     "event_windows": "SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
     "event_sessions": "SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 6 HOUR AS session_end, count(*) AS n FROM (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT user_id, ts, event_id, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, s",
@@ -187,23 +183,11 @@ SQL: dict[str, str] = {
 
 ORACLE = {name: with_parts(sql) for name, sql in SQL.items()}
 
-#: The same searches for every query of the whole set: what the fixed texts say of ten queries is said of all.
-WHOLE = ("dense_topk", "gated_truth_topk", "overfetch_recall", "ranking_stats_by_retention", "group_summary", "pivot_methods", "paired_delta", "prevalence_depth", "result_parity")
-FEW = (("q.vec_id < 10", "q.vec_id % 20 = 0"), ("range(0, 10) a(q)", "(SELECT vec_id FROM embeddings WHERE vec_id % 20 = 0) a(q)"), ("range(0, 10) t(q)", "(SELECT vec_id FROM embeddings WHERE vec_id % 20 = 0) t(q)"))
-
-
-def for_all(sql: str) -> str:
-    for few, every in FEW:
-        sql = sql.replace(few, every)
-    return sql
-
-
-ORACLE |= {f"{name}_all": for_all(ORACLE[name]) for name in WHOLE}
-ORACLE["label_threshold_all"] = for_all(with_parts("SELECT query_id, vec_id, (dense >= quantile_cont(dense, 0.6) OVER (PARTITION BY query_id))::INTEGER AS label FROM dense"))
+ORACLE["label_threshold"] = with_parts("SELECT query_id, vec_id, (dense >= quantile_cont(dense, 0.6) OVER (PARTITION BY query_id))::INTEGER AS label FROM dense")
 
 PLACES = "(SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS ordinal, count(*) OVER () AS n_all FROM embeddings)"
-ORACLE["geometry_corr_all"] = with_parts(
+ORACLE["geometry_corr"] = with_parts(
     f"SELECT count(*) AS n, {r6('corr(d, h)', 'corr')} FROM (SELECT list_dot_product(ea.embedding::DOUBLE[], eb.embedding::DOUBLE[]) AS d, 1 - (bit_count(xor(a.w0, b.w0))::BIGINT + bit_count(xor(a.w1, b.w1))::BIGINT) / 64 AS h FROM (SELECT t.i % n_all AS i, ((t.i * 48271 + 11) % 2147483647) * ((t.i * 48271 + 11) % 2147483647) % 2147483647 % n_all AS j FROM (SELECT count(*) AS n_all, unnest(range(greatest(20000, count(*)))) AS i FROM embeddings) t) p JOIN {PLACES} pa ON pa.ordinal = p.i JOIN {PLACES} pb ON pb.ordinal = p.j JOIN codes a ON a.vec_id = pa.vec_id JOIN codes b ON b.vec_id = pb.vec_id JOIN embeddings ea ON ea.vec_id = pa.vec_id JOIN embeddings eb ON eb.vec_id = pb.vec_id WHERE p.i <> p.j)"
 )
-ORACLE["candidate_scores_all"] = with_parts(f"SELECT i AS pos, vec_id, {r6(lsig('l1') + ' + ' + lsig('l2'), 'score')} FROM {PLACES} JOIN (SELECT unnest(range(3 * count(*))) AS i FROM embeddings) ON ordinal = i % n_all JOIN ({RAW_WIDE}) USING (vec_id)")
-ORACLE["tiled_codes_all"] = with_parts(f"SELECT i AS tile_id, vec_id, w0, pop FROM {PLACES} JOIN (SELECT unnest(range(count(*) * 13 // 5)) AS i FROM embeddings) ON ordinal = i % n_all JOIN codes USING (vec_id)")
+ORACLE["candidate_scores"] = with_parts(f"SELECT i AS pos, vec_id, {r6(lsig('l1') + ' + ' + lsig('l2'), 'score')} FROM {PLACES} JOIN (SELECT unnest(range(3 * count(*))) AS i FROM embeddings) ON ordinal = i % n_all JOIN ({RAW_WIDE}) USING (vec_id)")
+ORACLE["tiled_codes"] = with_parts(f"SELECT i AS tile_id, vec_id, w0, pop FROM {PLACES} JOIN (SELECT unnest(range(count(*) * 13 // 5)) AS i FROM embeddings) ON ordinal = i % n_all JOIN codes USING (vec_id)")

@@ -33,8 +33,8 @@ DIM = 64
 CONCEPTS = {f"label{k}": k for k in range(10)}
 FACETS = {"brand": "p_brand", "type": "p_type", "size": "p_size"}
 FRACTIONS = (0.05, 0.1, 0.2, 0.4)
-#: The queries of searches: those of the fixed SQL, and the whole set, which the names with _all and those without SQL take.
-FIXED, WHOLE = "vec_id < 10", "vec_id % 20 = 0"
+#: The queries of searches.
+ASKED = "vec_id % 20 = 0"
 
 
 def items(spark: SparkSession, sf: str) -> DataFrame:
@@ -186,14 +186,6 @@ def semantic_topk(spark, sf, k=20, positive=("label3",), negative=("label7",)):
     return best.select("vec_id", r6(F.col("score")).alias("score"))
 
 
-def candidate_scores(spark, sf):
-    """A bag of candidates: the same id may come several times, each is scored."""
-    enc, programs = compiled(spark, sf)
-    bag = spark.range(300).select(F.col("id").alias("pos"), ((F.col("id") * 7) % 100).alias("vec_id"))
-    scored = SemanticExecutor(coded(spark, sf, enc), enc, programs).score_candidates(bag, ("label1", "label2"))
-    return scored.select("pos", "vec_id", r6(F.col("score")).alias("score"))
-
-
 def early_exit_topk(spark, sf):
     enc, programs = compiled(spark, sf)
     best = SemanticExecutor(coded(spark, sf, enc), enc, programs).topk_early_exit(("label3",), ("label7",), 20, sample=0.5)
@@ -203,13 +195,13 @@ def early_exit_topk(spark, sf):
 # -- dense search, filters, gates -----------------------------------------------------------------------------------
 
 
-def _queries(spark, sf, which: str) -> DataFrame:
+def _queries(spark, sf) -> DataFrame:
     """(query_id, vector, want) of the items that are queries."""
-    return items(spark, sf).where(which).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"), F.col("label").alias("want"))
+    return items(spark, sf).where(ASKED).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"), F.col("label").alias("want"))
 
 
-def dense_topk(spark, sf, which=FIXED):
-    return S.nearest(items(spark, sf), _queries(spark, sf, which), 10, own=False).select("query_id", "rank", "vec_id", r6(F.col("dense")).alias("dense"))
+def dense_topk(spark, sf):
+    return S.nearest(items(spark, sf), _queries(spark, sf), 10, own=False).select("query_id", "rank", "vec_id", r6(F.col("dense")).alias("dense"))
 
 
 def dense_pool_exact_filter(spark, sf):
@@ -251,14 +243,14 @@ def _fetched(rows, queries, ask: int) -> DataFrame:
     return S.nearest(rows, queries, ask).drop("rank").join(rows.select("vec_id", "semantic"), "vec_id")
 
 
-def gated_truth_topk(spark, sf, which=FIXED):
+def gated_truth_topk(spark, sf):
     rows, gates, _ = _gates(spark, sf)
-    return _gated(rows, _queries(spark, sf, which), gates[0.2], 10).select("query_id", "rank", "vec_id", r6(F.col("dense")).alias("dense"))
+    return _gated(rows, _queries(spark, sf), gates[0.2], 10).select("query_id", "rank", "vec_id", r6(F.col("dense")).alias("dense"))
 
 
-def overfetch_recall(spark, sf, which=FIXED):
+def overfetch_recall(spark, sf):
     rows, gates, n = _gates(spark, sf)
-    queries = _queries(spark, sf, which)
+    queries = _queries(spark, sf)
     truth = cut(_gated(rows, queries, gates[0.2], 10))
     fetched = cut(_fetched(rows, queries, S.ask_size(0.2, 10, 2.0, n)))
     out = None
@@ -269,14 +261,8 @@ def overfetch_recall(spark, sf, which=FIXED):
 
 
 def label_threshold(spark, sf):
-    query = S.query_vectors(items(spark, sf), [0])[0]
-    scored = items(spark, sf).select("vec_id", N.dot("embedding", query).alias("score"))
-    return T.quantile_labels(scored, "score", F.col("vec_id") % 2 == 0, 0.4).select("vec_id", "label")
-
-
-def label_threshold_all(spark, sf):
     """Labels of all items for each query, by a threshold fitted on all items."""
-    scored = cut(S.all_scores(items(spark, sf), _queries(spark, sf, WHOLE)))
+    scored = cut(S.all_scores(items(spark, sf), _queries(spark, sf)))
     limits = scored.groupBy("query_id").agg(F.percentile("dense", 0.6).alias("limit"))
     return scored.join(F.broadcast(limits), "query_id").select("query_id", "vec_id", (F.col("dense") >= F.col("limit")).cast("int").alias("label"))
 
@@ -399,10 +385,10 @@ def bitmask_predicate(spark, sf):
 METHODS = ("dense", "linear", "oracle", "program")
 
 
-def _evaluation(spark, sf, which) -> DataFrame:
+def _evaluation(spark, sf) -> DataFrame:
     """(method, query_id, vec_id, score, t) over each query's dense pool of 200; the query's label is the truth."""
     rows = items(spark, sf)
-    queries = _queries(spark, sf, which)
+    queries = _queries(spark, sf)
     enc, programs = compiled(spark, sf)
     all_heads = {h.name: h for h in heads(spark, sf)}
     codes = rows.select("*", *[c.alias(n) for n, c in E.code_columns(enc).items()])
@@ -414,48 +400,48 @@ def _evaluation(spark, sf, which) -> DataFrame:
     return pool.select("query_id", "vec_id", truth.alias("t"), each.alias("s")).select("s.method", "query_id", "vec_id", "s.score", "t")
 
 
-def _per_query(spark, sf, which) -> DataFrame:
-    return V.retention_curve(_evaluation(spark, sf, which), ["method", "query_id"], "score", "vec_id", "t", FRACTIONS)
+def _per_query(spark, sf) -> DataFrame:
+    return V.retention_curve(_evaluation(spark, sf), ["method", "query_id"], "score", "vec_id", "t", FRACTIONS)
 
 
-def ranking_stats_by_retention(spark, sf, which=FIXED):
+def ranking_stats_by_retention(spark, sf):
     stats = ("recall", "purity", "max_recall", "recall_efficiency")
-    return _per_query(spark, sf, which).select("method", "query_id", "retention", "pool_size", "k", "hits", "total_true", *[r6(F.col(c)).alias(c) for c in stats])
+    return _per_query(spark, sf).select("method", "query_id", "retention", "pool_size", "k", "hits", "total_true", *[r6(F.col(c)).alias(c) for c in stats])
 
 
 def _rounded_groups(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     return rows.select(*keys, "n", *[r6(F.col(c)).alias(c) for c in columns])
 
 
-def group_summary(spark, sf, which=FIXED):
-    found = V.group_summary(_per_query(spark, sf, which), ["method", "retention"], "recall")
+def group_summary(spark, sf):
+    found = V.group_summary(_per_query(spark, sf), ["method", "retention"], "recall")
     return _rounded_groups(found, ["method", "retention"], ["mean", "sd", "median", "p95"])
 
 
-def pivot_methods(spark, sf, which=FIXED):
-    wide = V.pivot_methods(_per_query(spark, sf, which), ["query_id", "retention"], "recall", METHODS)
+def pivot_methods(spark, sf):
+    wide = V.pivot_methods(_per_query(spark, sf), ["query_id", "retention"], "recall", METHODS)
     return wide.select("query_id", "retention", *[r6(F.col(m)).alias(m) for m in METHODS])
 
 
-def paired_delta(spark, sf, which=FIXED):
-    delta = V.paired_delta(_per_query(spark, sf, which), ["query_id", "retention"], "recall", "dense")
+def paired_delta(spark, sf):
+    delta = V.paired_delta(_per_query(spark, sf), ["query_id", "retention"], "recall", "dense")
     return delta.select("query_id", "retention", "method", r6(F.col("delta")).alias("delta"))
 
 
-def prevalence_depth(spark, sf, which=FIXED):
-    rows = cut(_per_query(spark, sf, which)).where("retention = 0.2").withColumns({"prevalence": F.col("total_true") / F.col("pool_size"), "depth": F.lit(1)})
+def prevalence_depth(spark, sf):
+    rows = cut(_per_query(spark, sf)).where("retention = 0.2").withColumns({"prevalence": F.col("total_true") / F.col("pool_size"), "depth": F.lit(1)})
     found = V.prevalence_depth(rows, ("program", "dense"), ["query_id"], "recall", "prevalence", "depth")
     return found.select("quartile", "depth", "n", r6(F.col("mean")).alias("mean"), r6(F.col("sd")).alias("sd"))
 
 
 def bootstrap_ci(spark, sf):
-    return V.bootstrap_ci(_per_query(spark, sf, WHOLE), ["method", "retention"], "recall", n_boot=500)
+    return V.bootstrap_ci(_per_query(spark, sf), ["method", "retention"], "recall", n_boot=500)
 
 
 def matched_frontier(spark, sf):
     """For each gate, the smallest multiplier whose recall is near that of the exact search."""
     rows, gates, n = _gates(spark, sf)
-    queries = _queries(spark, sf, WHOLE)
+    queries = _queries(spark, sf)
     multipliers = (0.5, 1.0, 2.0, 4.0)
     fetched = cut(_fetched(rows, queries, max(S.ask_size(f, 10, m, n) for f in gates for m in multipliers)))
     found = []
@@ -486,17 +472,6 @@ def average_precision(spark, sf):
     return T.average_precision(_scored_labels(spark, sf), "score", "y").select(r6(F.col("average_precision")).alias("average_precision"))
 
 
-def geometry_corr(spark, sf):
-    """Correlation of code agreement with exact similarity over a fixed table of pairs."""
-    rows = items(spark, sf)
-    codes = rows.select("vec_id", "embedding", *[c.alias(n) for n, c in E.code_columns(encoder(spark, sf)).items()]).where("vec_id < 500")
-    pairs = spark.range(2000).select((F.col("id") % 500).alias("i"), ((F.col("id") * 37 + 11) % 500).alias("j")).where("i <> j")
-    a, b = codes.alias("a"), codes.alias("b")
-    met = pairs.join(a, F.col("i") == F.col("a.vec_id")).join(b, F.col("j") == F.col("b.vec_id"))
-    exact = N.dot_columns(F.col("a.embedding"), F.col("b.embedding"))
-    return met.select(exact.alias("x"), E.hamming_agreement(2, DIM).alias("y")).agg(F.count(F.lit(1)).alias("n"), r6(F.corr("x", "y")).alias("corr"))
-
-
 def _ordinals(spark, sf) -> tuple[DataFrame, int]:
     """(ordinal, vec_id): the places from 0 of all items in order of id, and their number."""
     ids = items(spark, sf).select("vec_id")
@@ -504,8 +479,9 @@ def _ordinals(spark, sf) -> tuple[DataFrame, int]:
     return spark.createDataFrame(placed, "ordinal bigint, vec_id bigint"), ids.count()
 
 
-def geometry_corr_all(spark, sf):
-    """The same over pairs drawn from all items: each is the first of a pair, 20,000 pairs at least."""
+def geometry_corr(spark, sf):
+    """Correlation of code agreement with exact similarity over pairs drawn from all items: each is the first of a pair,
+    20,000 pairs at least."""
     places, n = _ordinals(spark, sf)
     places = cut(places)
     codes = items(spark, sf).select("vec_id", "embedding", *[c.alias(k) for k, c in E.code_columns(encoder(spark, sf)).items()]).join(places, "vec_id")
@@ -517,7 +493,7 @@ def geometry_corr_all(spark, sf):
     return met.select(exact.alias("x"), E.hamming_agreement(2, DIM).alias("y")).agg(F.count(F.lit(1)).alias("n"), r6(F.corr("x", "y")).alias("corr"))
 
 
-def candidate_scores_all(spark, sf):
+def candidate_scores(spark, sf):
     """A bag that names every item three times."""
     enc, programs = compiled(spark, sf)
     places, n = _ordinals(spark, sf)
@@ -526,7 +502,7 @@ def candidate_scores_all(spark, sf):
     return scored.select("pos", "vec_id", r6(F.col("score")).alias("score"))
 
 
-def tiled_codes_all(spark, sf):
+def tiled_codes(spark, sf):
     """All items' codes, 2.6 times over."""
     places, n = _ordinals(spark, sf)
     codes = coded(spark, sf, encoder(spark, sf)).join(places, "vec_id").select("ordinal", "vec_id", "w0", "pop")
@@ -574,8 +550,7 @@ def query_specs(spark, sf):
     rows = S.facets(items(spark, sf), table(spark, sf, "part"), "vec_id", "p_partkey", FACETS)
     concepts = {f"axis{i}": N.component("embedding", i) > 0 for i in range(6)}
     rows = rows.select("vec_id", *FACETS, *[c.alias(n) for n, c in concepts.items()])
-    specs = catalog.query_benchmark(rows, list(FACETS), ["type"], list(concepts), 12, 7, min_truth=20)
-    return spark.createDataFrame([(s.query_id, s.text, [list(x) for x in s.exact], list(s.positive), list(s.negative), s.fit_truth) for s in specs], "query_id string, text string, exact array<array<string>>, positive array<string>, negative array<string>, fit_truth bigint")
+    return catalog.query_benchmark(rows, list(FACETS), ["type"], list(concepts), 12, 7, min_truth=20)
 
 
 def split_strict(spark, sf):
@@ -600,16 +575,11 @@ def storage(spark, sf):
     return out.select("method", "item_bytes", "program_bytes", "shared_bytes", "total_bytes", r6(F.col("total_mb")).alias("total_mb"))
 
 
-def tiled_codes(spark, sf):
-    codes = coded(spark, sf, encoder(spark, sf)).where("vec_id < 500").select("vec_id", "w0", "pop")
-    return S.tile(codes, "vec_id", 500, 1300).select("tile_id", "vec_id", "w0", "pop")
-
-
 def set_operations(spark, sf):
     """Union, intersection and difference of two dense results, as bags and as sets."""
-    scores = S.dense_scores(items(spark, sf), S.query_vectors(items(spark, sf), (0, 1)))
+    scores = S.dense_scores(items(spark, sf), S.query_vectors(items(spark, sf), (0, 20)))
     a = S.ranked(scores.where("query_id = 0"), ["query_id"], "dense", "vec_id", 100).select("vec_id")
-    b = S.ranked(scores.where("query_id = 1"), ["query_id"], "dense", "vec_id", 100).select("vec_id")
+    b = S.ranked(scores.where("query_id = 20"), ["query_id"], "dense", "vec_id", 100).select("vec_id")
     parts = {"union_all": a.unionAll(b), "union": a.union(b).distinct(), "intersect": a.intersect(b), "except": a.exceptAll(b)}
     out = None
     for name, rows in parts.items():
@@ -618,10 +588,10 @@ def set_operations(spark, sf):
     return out
 
 
-def result_parity(spark, sf, which=FIXED):
+def result_parity(spark, sf):
     """Whether two plans give the same items for each query: the gate before, and after the dense order."""
     rows, gates, n = _gates(spark, sf)
-    queries = _queries(spark, sf, which)
+    queries = _queries(spark, sf)
     live = _gated(rows, queries, gates[0.2], 10)
     after = S.over_fetch(_fetched(rows, queries, S.ask_size(0.2, 10, 100.0, n)), gates[0.2], 0.2, 10, 100.0, n)
     return G.same_ids(live, after)
@@ -640,7 +610,7 @@ def graph_search(spark, sf):
     semantic = _semantic(spark, sf)
     rows = items(spark, sf).join(semantic, "vec_id").select("vec_id", "embedding", "semantic")
     gate = semantic.agg(F.percentile("semantic", 0.8).alias("g")).first()["g"]
-    queries = _queries(spark, sf, WHOLE)
+    queries = _queries(spark, sf)
     if G.too_large(rows, 0):
         return G.exact_search(cut(rows), queries, gate, k=10)
     edges = cut(G.knn_graph(rows, 16))
@@ -689,9 +659,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 QUERIES["semantic_topk_negated"] = partial(semantic_topk, positive=(), negative=("label7", "label2"))
 QUERIES["pair_lut"] = partial(boosted_lut, pairs=3)
-QUERIES["candidate_scores_all"] = candidate_scores_all
-QUERIES["tiled_codes_all"] = tiled_codes_all
-QUERIES["geometry_corr_all"] = geometry_corr_all
-QUERIES["label_threshold_all"] = label_threshold_all
-for _f in (dense_topk, gated_truth_topk, overfetch_recall, ranking_stats_by_retention, group_summary, pivot_methods, paired_delta, prevalence_depth, result_parity):
-    QUERIES[f"{_f.__name__}_all"] = partial(_f, which=WHOLE)

@@ -220,8 +220,8 @@ def test_query_benchmark(spark):
     rng = np.random.default_rng(7)
     frame = pd.DataFrame({"vec_id": range(1000), "colour": rng.choice(["Red", "Blue", "Unknown"], 1000), "kind": rng.choice(["Shoe", "Bag"], 1000)} | {f"c{i}": rng.random(1000) < 0.5 for i in range(8)})
     items = spark.createDataFrame(frame)
-    one, two = (catalog.query_benchmark(items, ["colour", "kind"], ["kind"], [f"c{i}" for i in range(8)], 10, 77, min_truth=20) for _ in range(2))
-    assert one == two and len(one) == 10 and all(s.fit_truth >= 20 for s in one)
+    one, two = (catalog.query_benchmark(items, ["colour", "kind"], ["kind"], [f"c{i}" for i in range(8)], 10, 77, min_truth=20).collect() for _ in range(2))
+    assert one == two and len(one) == 10 and all(s["fit_truth"] >= 20 for s in one)
     with pytest.raises(RuntimeError):
         catalog.query_benchmark(items, ["colour", "kind"], ["kind"], ["c0"], 50, 1, min_truth=900)
 

@@ -35,7 +35,7 @@ def test_nearest_in_blocks(spark, monkeypatch, k):
 
 def test_dense_topk_takes_every_query(spark):
     ids, x = embeddings()
-    found = QUERIES["dense_topk_all"](spark, LARGE).collect()
+    found = QUERIES["dense_topk"](spark, LARGE).collect()
     assert {r["query_id"] for r in found} == {int(i) for i in ids if i % 20 == 0} and len(found) == 10 * 100
     s = x @ x.T
     np.fill_diagonal(s, -np.inf)
@@ -58,12 +58,12 @@ def test_geometry_pairs_name_every_item(spark):
     a, b = a[a != b], b[a != b]
     assert len(set(a)) == len(x) and len(set(zip(a, b, strict=True))) > 19_000
     bits = x - x.mean(axis=0) > 0
-    row = QUERIES["geometry_corr_all"](spark, LARGE).first()
+    row = QUERIES["geometry_corr"](spark, LARGE).first()
     assert row["n"] == len(a)
     assert abs(row["corr"] - np.corrcoef((x[a] * x[b]).sum(axis=1), (bits[a] == bits[b]).mean(axis=1))[0, 1]) < 1e-5
 
 
-@pytest.mark.parametrize(("name", "n"), [("candidate_scores_all", 6000), ("tiled_codes_all", 5200)])
+@pytest.mark.parametrize(("name", "n"), [("candidate_scores", 6000), ("tiled_codes", 5200)])
 def test_bags_name_every_item(spark, name, n):
     ids, _ = embeddings()
     rows = QUERIES[name](spark, LARGE).select("vec_id").collect()
@@ -76,7 +76,7 @@ def test_graph_search_beyond_its_bound(spark, monkeypatch):
     beam = {(r["query_id"], r["vec_id"]) for r in QUERIES["graph_search"](spark, small).collect()}
     monkeypatch.setattr(G, "GRAPH_BYTES", 1000)
     exact = {(r["query_id"], r["vec_id"]) for r in QUERIES["graph_search"](spark, small).collect()}
-    truth = {(r["query_id"], r["vec_id"]) for r in QUERIES["gated_truth_topk_all"](spark, small).collect()}
+    truth = {(r["query_id"], r["vec_id"]) for r in QUERIES["gated_truth_topk"](spark, small).collect()}
     assert exact == truth and len(exact) == 250 and len(beam & exact) > 0.9 * 250
 
 
