@@ -191,3 +191,11 @@ ORACLE["geometry_corr"] = with_parts(
 )
 ORACLE["candidate_scores"] = with_parts(f"SELECT i AS pos, vec_id, {r6(lsig('l1') + ' + ' + lsig('l2'), 'score')} FROM {PLACES} JOIN (SELECT unnest(range(3 * count(*))) AS i FROM embeddings) ON ordinal = i % n_all JOIN ({RAW_WIDE}) USING (vec_id)")
 ORACLE["tiled_codes"] = with_parts(f"SELECT i AS tile_id, vec_id, w0, pop FROM {PLACES} JOIN (SELECT unnest(range(count(*) * 13 // 5)) AS i FROM embeddings) ON ordinal = i % n_all JOIN codes USING (vec_id)")
+
+KNN = "(SELECT a.vec_id AS src, b.vec_id AS dst FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, b.vec_id) <= {m})"
+BOTH = "SELECT src, dst FROM {knn} UNION SELECT dst, src FROM {knn}"
+#: Of one part, which is what the table on which SQL is compared fills.
+ORACLE["knn_graph"] = BOTH.format(knn=KNN.format(m=8))
+ORACLE["graph_hops"] = f"WITH e AS ({BOTH.format(knn=KNN.format(m=4))}), r AS (SELECT src, dst, 1 AS hops FROM e UNION ALL SELECT a.src, b.dst, 2 FROM e a JOIN e b ON a.dst = b.src) SELECT src, dst, min(hops)::INTEGER AS hops FROM r WHERE src % 20 = 0 AND src <> dst GROUP BY src, dst"
+ORACLE["graph_parity"] = "SELECT vec_id AS query_id, TRUE AS same FROM embeddings WHERE vec_id % 20 = 0"
+ORACLE["graph_recall"] = "SELECT b::INTEGER AS bridges, count(*) AS n, TRUE AS good FROM embeddings, (SELECT unnest([0, 4]) AS b) WHERE vec_id % 20 = 0 GROUP BY b"

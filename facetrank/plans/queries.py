@@ -605,24 +605,54 @@ def query_mentions(spark, sf):
 # -- graph and streams ----------------------------------------------------------------------------------------------
 
 
+def _graph_items(spark, sf) -> tuple[DataFrame, G.LiveGate, float]:
+    """Items with their codes and semantic scores, the same score as a live gate, and a gate for a fifth of all."""
+    enc, programs = compiled(spark, sf)
+    live = G.LiveGate((programs["label3"], programs["label7"]), (1, -1))
+    score = C.mean_log_probability([p.logit() for p in live.programs], live.signs)
+    rows = items(spark, sf).select("vec_id", "embedding", *[c.alias(n) for n, c in E.code_columns(enc).items()])
+    rows = cut(rows.withColumn("semantic", score))
+    # Just below the limit, so that rounding can't tell the two ways of scoring apart.
+    gate = rows.agg(F.percentile("semantic", 0.8).alias("g")).first()["g"]
+    return rows, live, (gate or 0.0) - 1e-9
+
+
 def graph_search(spark, sf):
-    prepare(spark)
-    semantic = _semantic(spark, sf)
-    rows = items(spark, sf).join(semantic, "vec_id").select("vec_id", "embedding", "semantic")
-    gate = semantic.agg(F.percentile("semantic", 0.8).alias("g")).first()["g"]
-    queries = _queries(spark, sf)
-    if G.too_large(rows, 0):
-        return G.exact_search(cut(rows), queries, gate, k=10)
-    edges = cut(G.knn_graph(rows, 16))
-    if G.too_large(rows, edges.count()):
-        return G.exact_search(cut(rows), queries, gate, k=10)
-    return G.filtered_search(rows, edges, queries, gate, k=10, ef=128)
+    """Live: the gate is worked out from the codes of the items that the search comes to."""
+    rows, live, gate = _graph_items(spark, sf)
+    return G.filtered_search(rows, cut(G.build_graph(rows, 16)), _queries(spark, sf), gate, k=10, ef=128, semantic=live)
+
+
+def graph_parity(spark, sf):
+    """Whether the live and the materialised search find the same items."""
+    rows, live, gate = _graph_items(spark, sf)
+    edges, queries = cut(G.build_graph(rows, 16)), _queries(spark, sf)
+    return G.same_ids(*(G.filtered_search(rows, edges, queries, gate, k=10, ef=128, semantic=s) for s in (live, "semantic")))
+
+
+def graph_recall(spark, sf):
+    """Whether the graph finds nine in ten of the exact gated top-k, plainly and over bridges."""
+    rows, _, gate = _graph_items(spark, sf)
+    edges, queries = cut(G.build_graph(rows, 16)), _queries(spark, sf)
+    truth = cut(_gated(rows, queries, gate, 10))
+    out = None
+    for bridges in (0, 4):
+        found = G.filtered_search(rows, edges, queries, gate, k=10, ef=128, bridges=bridges)
+        one = S.recall(found, truth, queries).agg(F.count(F.lit(1)).alias("n"), (F.avg("recall") >= 0.9).alias("good")).select(F.lit(bridges).alias("bridges"), "n", "good")
+        out = one if out is None else out.union(one)
+    return out
 
 
 def knn_graph(spark, sf):
     return G.knn_graph(items(spark, sf), 8)
 
 
+def graph_hops(spark, sf):
+    """What each query's item reaches over two links."""
+    frontier = _queries(spark, sf).select(F.col("query_id").alias("src"))
+    return G.two_hops(cut(G.knn_graph(items(spark, sf), 4)), frontier)
+
+
 def stream_encode(spark, sf):
     """A stream of items encoded under the frozen encoder, read back when it has caught up."""
     import uuid
@@ -654,7 +684,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         columnar_codes, pq_codes, pq_adc, pq_trained, code_histograms, llr_stats, llr_empirical_bayes, llr_program_score, newton_round1, boosted_lut, box_predicate, bitmask_predicate,
         ranking_stats_by_retention, group_summary, pivot_methods, paired_delta, prevalence_depth, bootstrap_ci, matched_frontier, best_f1_threshold, f1_at_zero, average_precision,
         geometry_corr, latency_stats, trained_head, calibrated_program, neural_ceiling, exact_filter_candidates, query_specs, split_strict, split_stratified, concept_counts, truth_mask,
-        storage, tiled_codes, set_operations, result_parity, query_mentions, graph_search, knn_graph, stream_encode, event_windows, event_sessions,
+        storage, tiled_codes, set_operations, result_parity, query_mentions, graph_search, graph_parity, graph_recall, knn_graph, graph_hops, stream_encode, event_windows, event_sessions,
     )
 }
 QUERIES["semantic_topk_negated"] = partial(semantic_topk, positive=(), negative=("label7", "label2"))

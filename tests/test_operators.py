@@ -233,6 +233,52 @@ def test_split_sizes(spark):
     assert catalog.split(items, "vec_id").exceptAll(catalog.split(items, "vec_id")).isEmpty()
 
 
+def test_descent():
+    x = np.arange(20, dtype=float)[:, None]
+    top = {0: np.array([10]), 10: np.array([0, 19]), 19: np.array([10])}
+    assert G.descend(x, [{}, top], np.array([1.0]), 0) == 19 and G.descend(x, [{}], np.array([1.0]), 3) == 3
+
+
+def test_boost_by_hand():
+    """The greedy choice, the refit and the pairs against loops over all candidates."""
+    rng = np.random.default_rng(3)
+    codes = rng.integers(0, 4, (300, 9))
+    y = (codes[:, 2] + codes[:, 5] * codes[:, 7] + rng.integers(0, 4, 300) > 6).astype(float)
+    start, terms = L.boost(codes, y, k=4, bins=4, pool=6, pairs=2, pair_pool=3)
+
+    def newton(cell, margin, l2):
+        p = 1 / (1 + np.exp(-margin))
+        sums = [(sum((y - p)[cell == b]), sum((p * (1 - p))[cell == b])) for b in range(cell.max() + 1)]
+        return [g / (h + l2) for g, h in sums], sum(g * g / (h + l2) for g, h in sums) / 2
+
+    strength = []
+    for j in range(9):
+        pos, neg = (np.array([((codes[:, j] == b) & (y == v)).sum() for b in range(4)]) for v in (1, 0))
+        prior = (pos + neg + 1) / (len(y) + 4)
+        p1, p0 = (pos + 4 * prior) / (pos.sum() + 4), (neg + 4 * prior) / (neg.sum() + 4)
+        strength.append(((p1 - p0) * np.log(p1 / p0)).sum())
+    pool = sorted(range(9), key=lambda j: -strength[j])[:6]
+    margin, chosen, table = np.full(300, start), [], {}
+    for _ in range(4):
+        j = max((j for j in pool if j not in chosen), key=lambda j: newton(codes[:, j], margin, 6.0)[1])
+        chosen.append(j)
+        table[j] = 0.55 * np.array(newton(codes[:, j], margin, 6.0)[0])
+        margin = margin + table[j][codes[:, j]]
+    for j in chosen:
+        margin = margin - table[j][codes[:, j]]
+        table[j] = np.array(newton(codes[:, j], margin, 6.0)[0])
+        margin = margin + table[j][codes[:, j]]
+    assert [t[0] for t in terms[:4]] == chosen
+    assert all(np.allclose(t[2], table[t[0]]) for t in terms[:4])
+    assert all(a in chosen[:3] and b in chosen[:3] for a, b, _ in terms[4:]) and len(terms) == 6
+
+
+def test_boosted_sample(spark):
+    rows = spark.createDataFrame([(i, "c", [i % 4, i % 3], int(i % 4 > 1)) for i in range(4000)], "id bigint, concept string, codes array<int>, label int")
+    fitted = L.fit_boosted(rows, bins=4, k=1, max_rows=500).first()
+    assert fitted["terms"][0]["coord"] == 0
+
+
 def test_graph(spark):
     x = np.array([[float(i), 1.0] for i in range(6)])
     links = [np.array([j for j in (i - 1, i + 1) if 0 <= j < 6]) for i in range(6)]
@@ -242,7 +288,8 @@ def test_graph(spark):
     _, items = vectors(spark, 400, 16, 2)
     items = items.withColumn("semantic", (F.col("vec_id") % 3).cast("double"))
     queries = items.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    found = G.filtered_search(items, G.knn_graph(items, 12), queries, 1.0, k=10, ef=200)
+    found = G.filtered_search(items, G.build_graph(items, 12), queries, 1.0, k=10, ef=200)
+    assert G.filtered_search(items.limit(0), G.build_graph(items.limit(0), 12), queries, 1.0, k=10, ef=200).count() == 0
     dense = S.dense_scores(items, S.query_vectors(items, range(20)), keep=["semantic"])
     truth = S.gated_truth(dense, 1.0, 10)
     assert S.recall(found, truth, queries).agg(F.avg("recall")).first()[0] > 0.9
