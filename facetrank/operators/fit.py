@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from facetrank.functions.numeric import lit
 from facetrank.operators.program import Head
+from facetrank.sources.session import cut
 
 
 def _vector(embedding: str) -> Column:
@@ -51,28 +52,58 @@ def calibrator(scored: DataFrame, score: str, label: Column, c: float = 1000.0)
 
 def quantile_labels(scored: DataFrame, score: str, fit: Column, prevalence: float = 0.4) -> DataFrame:
     """``scored`` with ``label``: whether a score reaches the fit sample's quantile 1 - prevalence (one number)."""
-    cut = scored.where(fit).agg(F.percentile(score, lit(1 - prevalence)).alias("t")).first()["t"]
-    return scored.withColumn("label", (F.col(score) >= lit(float("nan") if cut is None else cut)).cast("int"))
+    limit = scored.where(fit).agg(F.percentile(score, lit(1 - prevalence)).alias("t")).first()["t"]
+    return scored.withColumn("label", (F.col(score) >= lit(float("nan") if limit is None else limit)).cast("int"))
 
 
 def threshold_curve(scored: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
     """(by, threshold, tp, n, total, f1) at every distinct score: equal scores are taken together.
 
-    Counts are summed by score first; the running sums then go over distinct scores only.
+    Counts are summed by score first. Scores are then dealt by range, each range is summed by itself, and the sums of the
+    ranges before are added, so no task sees all scores even where there is one group; the sums of ranges are one row for
+    each group and range.
     """
     by = list(by)
     groups = scored.groupBy(*by, F.col(score).alias("threshold")).agg(F.sum(F.col(label).cast("bigint")).alias("p"), F.count(F.lit(1)).alias("c"))
-    run = Window.partitionBy(*by).orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*by)
-    rows = groups.select(*by, "threshold", F.col("p"), F.sum("p").over(run).alias("tp"), F.sum("c").over(run).alias("n"), F.sum("p").over(whole).alias("total"))
+    dealt = cut(groups.repartitionByRange(*map(F.col, by), F.desc("threshold")).withColumn("_part", F.spark_partition_id()))
+    sums = dealt.groupBy(*by, "_part").agg(F.sum("p").alias("_p"), F.sum("c").alias("_c"))
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast("bigint")
+    ahead = sums.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], F.col("_part").alias("_of"), F.coalesce(F.sum("_p").over(before), zero).alias("_ahead_p"), F.coalesce(F.sum("_c").over(before), zero).alias("_ahead_c"), F.sum("_p").over(Window.partitionBy(*by)).alias("total"))
+    same = F.col("_part") == F.col("_of")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_by{i}"))
+    run = Window.partitionBy(*by, "_part").orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
+    rows = dealt.join(ahead, same).select(*by, "threshold", "p", (F.sum("p").over(run) + F.col("_ahead_p")).alias("tp"), (F.sum("c").over(run) + F.col("_ahead_c")).alias("n"), "total")
     return rows.withColumn("f1", F.try_divide(2 * F.col("tp"), F.col("n") + F.col("total")))
 
 
 def best_f1(scored: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
-    """(by, threshold, f1): the threshold of the greatest F1, the lowest one of equals."""
+    """(by, threshold, f1): the threshold of the greatest F1, the lowest one of equals; an aggregate, combined by tasks."""
     curve = threshold_curve(scored, score, label, by)
-    order = Window.partitionBy(*by).orderBy(F.desc("f1"), "threshold")
-    return curve.withColumn("_r", F.row_number().over(order)).where("_r = 1").select(*by, "threshold", "f1")
+    best = F.max(F.struct("f1", (-F.col("threshold")).alias("low"))).alias("x")
+    found = (curve.groupBy(*by) if by else curve).agg(best)
+    return found.where("x IS NOT NULL").select(*by, (-F.col("x.low")).alias("threshold"), F.col("x.f1").alias("f1"))
+
+
+def best_f1_on_grid(scored: DataFrame, score: str, label: str, points: int = 160, by: Sequence[str] = ()) -> DataFrame:
+    """(by, threshold, f1) over ``points`` even steps between the least and the greatest score, the lowest one of equals:
+    an approximation that needs no order, one count of each step."""
+    by = list(by)
+    ends = scored.groupBy(*by).agg(F.min(score).alias("_lo"), F.max(score).alias("_hi"), F.sum(F.col(label).cast("bigint")).alias("_total"))
+    if by:
+        rows = scored.join(ends, by)
+    else:
+        rows = scored.crossJoin(F.broadcast(ends))  # one row
+    step = F.try_divide(F.col("_hi") - F.col("_lo"), lit(points - 1))
+    # The last step that is at or under the score.
+    at = F.greatest(F.lit(0), F.least(F.lit(points - 1), F.floor(F.coalesce(F.try_divide(F.col(score) - F.col("_lo"), step), lit(points - 1))))).cast("int")
+    counts = rows.withColumn("_at", at).groupBy(*by, "_lo", "_hi", "_total", "_at").agg(F.sum(F.col(label).cast("bigint")).alias("p"), F.count(F.lit(1)).alias("c"))
+    run = Window.partitionBy(*by).orderBy(F.desc("_at")).rowsBetween(Window.unboundedPreceding, 0)  # ``points`` rows a group
+    curve = counts.select(*by, (F.col("_lo") + F.col("_at") * F.coalesce(step, lit(0))).alias("threshold"), F.try_divide(2 * F.sum("p").over(run), F.sum("c").over(run) + F.col("_total")).alias("f1"))
+    best = F.max(F.struct("f1", (-F.col("threshold")).alias("low"))).alias("x")
+    found = (curve.groupBy(*by) if by else curve).agg(best)
+    return found.where("x IS NOT NULL").select(*by, (-F.col("x.low")).alias("threshold"), F.col("x.f1").alias("f1"))
 
 
 def average_precision(scored: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:

@@ -15,8 +15,16 @@ from pyspark.sql import functions as F
 from facetrank.functions.numeric import component, constant, let, lit, sum_of
 
 
-def quantiles(items: DataFrame, embedding: str, dim: int, at: Sequence[float]) -> list[list[float]]:
-    """Exact linear-interpolation quantiles of each coordinate."""
+#: Rows that the edges of a quantiser are fitted on.
+FIT_ROWS = 100_000
+
+
+def quantiles(items: DataFrame, embedding: str, dim: int, at: Sequence[float], max_rows: int = FIT_ROWS) -> list[list[float]]:
+    """Linear-interpolation quantiles of each coordinate, exact over up to ``max_rows`` rows; of a larger table, over
+    about as many, drawn by a hash of the vector. One aggregate holds their values."""
+    n = items.count()
+    if n > max_rows:
+        items = items.where(F.pmod(F.xxhash64(embedding, F.lit(7)), F.lit(1 << 30)) < F.lit(int(max_rows / n * (1 << 30))))
     row = items.agg(F.array(*[F.percentile(component(embedding, i), F.array(*map(lit, at))) for i in range(dim)]).alias("q")).first()
     return [list(x) for x in row["q"]]
 

@@ -199,3 +199,38 @@ ORACLE["knn_graph"] = BOTH.format(knn=KNN.format(m=8))
 ORACLE["graph_hops"] = f"WITH e AS ({BOTH.format(knn=KNN.format(m=4))}), r AS (SELECT src, dst, 1 AS hops FROM e UNION ALL SELECT a.src, b.dst, 2 FROM e a JOIN e b ON a.dst = b.src) SELECT src, dst, min(hops)::INTEGER AS hops FROM r WHERE src % 20 = 0 AND src <> dst GROUP BY src, dst"
 ORACLE["graph_parity"] = "SELECT vec_id AS query_id, TRUE AS same FROM embeddings WHERE vec_id % 20 = 0"
 ORACLE["graph_recall"] = "SELECT b::INTEGER AS bridges, count(*) AS n, TRUE AS good FROM embeddings, (SELECT unnest([0, 4]) AS b) WHERE vec_id % 20 = 0 GROUP BY b"
+
+
+def _rotated() -> str:
+    """The codes of rotated vectors: the seeded matrix as literals, and components through it."""
+    from facetrank.operators.encode import random_rotation
+
+    values = ", ".join(f"({i}, {j}, {x!r})" for i, row in enumerate(random_rotation(64, 7).tolist()) for j, x in enumerate(row))
+    plain = f"x AS ({PARTS['x']})"
+    turned = f"x0 AS ({PARTS['x']}), rot(i, j, r) AS (VALUES {values}), x AS (SELECT vec_id, label, j AS pos, sum(v * r::DOUBLE) AS v FROM x0 JOIN rot ON i = pos GROUP BY vec_id, label, j)"
+    return ORACLE["item_codes"].replace(plain, turned)
+
+
+ORACLE["rotated_codes"] = _rotated()
+ORACLE["concept_candidates"] = with_parts(
+    f"SELECT field, value, n, {r6('n / n_all', 'prevalence')} FROM (SELECT *, row_number() OVER (PARTITION BY field ORDER BY n DESC, value) AS r FROM (SELECT field, value, count(*) AS n FROM (SELECT 'brand' AS field, brand AS value FROM facets UNION ALL SELECT 'type', type FROM facets UNION ALL SELECT 'size', size FROM facets) WHERE value <> 'Unknown' GROUP BY field, value), (SELECT count(*) AS n_all FROM embeddings) WHERE n >= 5 AND n / n_all BETWEEN 0.01 AND 0.7) WHERE r <= 4 ORDER BY n DESC, field, value LIMIT 14"
+)
+_AXES = [(f"axis{i}", f"embedding[{i + 1}] > 0") for i in range(6)]
+ORACLE["conjunction_counts"] = " UNION ALL ".join(
+    [f"SELECT '{a}+{b}' AS concepts, count(*) FILTER ({x} AND {y}) AS n FROM embeddings" for i, (a, x) in enumerate(_AXES) for b, y in _AXES[i + 1 :]]
+    + [f"SELECT '{a}+{b}+{c}', count(*) FILTER ({x} AND {y} AND {z}) FROM embeddings" for i, (a, x) in enumerate(_AXES) for j, (b, y) in enumerate(_AXES[i + 1 :], i + 1) for c, z in _AXES[j + 1 :]]
+)
+ORACLE["ordered_distinct"] = "SELECT conv_id, string_agg(role, ',' ORDER BY first, role) AS roles, bool_or(role IN ('system', 'tool')) AS special FROM (SELECT conv_id, role, min(turn) AS first FROM conversations GROUP BY conv_id, role) GROUP BY conv_id"
+ORACLE["box_intersection"] = with_parts(
+    f"SELECT vec_id, {r6('avg((code >= lo AND code <= hi)::INT)', 'inside')}, max(n_empty)::INTEGER AS n_empty FROM q2 JOIN (SELECT *, sum((lo > hi)::INT) OVER () AS n_empty FROM (SELECT a.pos, greatest(a.b[1], CASE WHEN o.own >= o.m THEN c.b[1] ELSE -1e300 END) AS lo, least(a.b[2], CASE WHEN o.own >= o.m THEN 1e300 ELSE c.b[2] END) AS hi FROM (SELECT pos, quantile_cont(code, [0.1, 0.9]) AS b FROM q2 WHERE label = 3 GROUP BY pos) a JOIN (SELECT pos, quantile_cont(code, [0.1, 0.9]) AS b FROM q2 WHERE label = 7 GROUP BY pos) c USING (pos) JOIN (SELECT pos, avg(code) AS m, avg(code) FILTER (label = 7) AS own FROM q2 GROUP BY pos) o USING (pos))) USING (pos) GROUP BY vec_id"
+)
+ORACLE["code_distance"] = with_parts(f"SELECT a.vec_id, {r6('-avg(abs(a.code - b.code))', 'score')} FROM q2 a JOIN {PLACES} pa ON pa.vec_id = a.vec_id JOIN {PLACES} pb ON pb.ordinal = pa.ordinal + 1 JOIN q2 b ON b.vec_id = pb.vec_id AND b.pos = a.pos GROUP BY a.vec_id")
+ORACLE["method_table"] = with_parts(
+    f"SELECT method, count(recall) AS n, {r6('avg(recall)', 'mean')}, max(CASE method WHEN 'dense' THEN 1536 WHEN 'linear' THEN 1536 WHEN 'program' THEN 56 END)::BIGINT AS item_bytes FROM per_query WHERE retention = 0.2 GROUP BY method"
+)
+ORACLE["fixed_oversample"] = with_parts(
+    f"SELECT query_id, hits, n_truth, {r6('CASE WHEN n_truth = 0 THEN 1 ELSE hits / n_truth END', 'recall')} FROM (SELECT q AS query_id, (SELECT count(*) FROM (SELECT * FROM (SELECT ds.* FROM ds QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY dense DESC, vec_id) <= 80), gates WHERE semantic >= g[2] AND vec_id <> query_id QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY dense DESC, vec_id) <= 10) f JOIN truth t ON f.query_id = t.query_id AND f.vec_id = t.vec_id WHERE f.query_id = q) AS hits, (SELECT count(*) FROM truth t WHERE t.query_id = q) AS n_truth FROM (SELECT vec_id FROM embeddings WHERE vec_id % 20 = 0) a(q))"
+)
+ORACLE["exact_sample"] = "SELECT count(*) // 3 AS n, count(*) // 3 AS n_ids FROM embeddings"
+ORACLE["raw_vectors"] = with_parts(f"SELECT vec_id, pos::INTEGER AS pos, {r6('v::FLOAT::DOUBLE', 'x')} FROM x")
+ORACLE["substrate_codes"] = ORACLE["quantile_codes"]

@@ -20,12 +20,15 @@ from facetrank.operators import evaluate as V
 from facetrank.operators import fit as T
 from facetrank.operators import graph as G
 from facetrank.operators import lut as L
+from facetrank.operators import masks as M
 from facetrank.operators import program as P
 from facetrank.operators import quantize as Q
 from facetrank.operators import search as S
+from facetrank.operators import substrate as B
 from facetrank.operators.account import storage_table
 from facetrank.plans import catalog
 from facetrank.plans.executor import SemanticExecutor, search
+from facetrank.sources import assets as A
 from facetrank.sources.session import cut, prepare, table
 from facetrank.streaming import encode as stream
 
@@ -96,7 +99,7 @@ def sign_codes(spark, sf):
 def rotated_codes(spark, sf):
     rows = items(spark, sf)
     enc = E.fit_encoder(rows, projection=E.random_rotation(DIM, 7))
-    return E.encode(rows, enc, keep=["vec_id"])
+    return E.encode(rows, enc, keep=["vec_id"]).select("vec_id", "w0", "w1", "pop", r6(F.col("lo")).alias("lo"), r6(F.col("hi")).alias("hi"))
 
 
 def whitened(spark, sf):
@@ -567,7 +570,81 @@ def concept_counts(spark, sf):
 
 def truth_mask(spark, sf):
     """AND of wanted and unwanted labels, over a second source of labels."""
-    return table(spark, sf, "labels").where((F.col("quality") == 1) & ~(F.col("toxic") == 1)).select("doc_id")
+    return table(spark, sf, "labels").where(M.truth_mask([F.col("quality") == 1], [F.col("toxic") == 1])).select("doc_id")
+
+
+def concept_candidates(spark, sf):
+    rows = S.facets(items(spark, sf), table(spark, sf, "part"), "vec_id", "p_partkey", FACETS)
+    found = M.concept_candidates(rows, list(FACETS), min_count=5, low=0.01)
+    return found.select("field", "value", "n", r6(F.col("prevalence")).alias("prevalence"))
+
+
+def conjunction_counts(spark, sf):
+    axes = {f"axis{i}": N.component("embedding", i) > 0 for i in range(6)}
+    return M.conjunction_counts(items(spark, sf), axes).select(F.array_join("concepts", "+").alias("concepts"), "n")
+
+
+def ordered_distinct(spark, sf):
+    """The roles of each conversation in the order in which they come in."""
+    turns = table(spark, sf, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role"))).alias("t"))
+    roles = M.ordered_distinct(F.transform("t", lambda x: x["role"]))
+    return turns.select("conv_id", F.array_join(roles, ",").alias("roles"), M.fields_overlap(roles, F.array(F.lit("system"), F.lit("tool"))).alias("special"))
+
+
+def box_intersection(spark, sf):
+    """Share of the coordinates in which an item is inside the boxes of two classes, one of them open on one side."""
+    coded_rows = cut(_codes4(spark, sf).select("vec_id", "label", "codes"))
+    mean = {r["coord"]: r["m"] for r in coded_rows.select(F.posexplode("codes").alias("coord", "q")).groupBy("coord").agg(F.avg("q").alias("m")).collect()}
+    boxes = []
+    for label in (3, 7):
+        found = L.box(coded_rows, "codes", DIM, F.col("label") == label, 0.1, 0.9)
+        boxes.append({r["coord"]: (r["lo"], r["hi"]) for r in found.collect()})
+    own = {r["coord"]: r["m"] for r in coded_rows.where("label = 7").select(F.posexplode("codes").alias("coord", "q")).groupBy("coord").agg(F.avg("q").alias("m")).collect()}
+    both, empty = M.intersect(boxes[0], M.one_sided(boxes[1], own, mean))
+    return coded_rows.select("vec_id", r6(M.share_inside("codes", both)).alias("inside"), F.lit(len(empty)).alias("n_empty"))
+
+
+def code_distance(spark, sf):
+    """Each item's code against that of the next item in order of id."""
+    places, n = _ordinals(spark, sf)
+    codes = cut(_codes4(spark, sf).select("vec_id", "codes").join(places, "vec_id"))
+    after = codes.select((F.col("ordinal") - 1).alias("ordinal"), F.col("codes").alias("other"))
+    return codes.join(after, "ordinal").select("vec_id", r6(M.negative_mean_l1("codes", "other")).alias("score"))
+
+
+def method_table(spark, sf):
+    """Mean recall of each method beside what an item of it takes; a method without a footprint stays."""
+    named = F.when(F.col("method") == "dense", "dense").when(F.col("method") == "linear", "fp32_linear").when(F.col("method") == "program", "binary1_ls2_int4")
+    summary = V.group_summary(_per_query(spark, sf).where("retention = 0.2"), ["method"], "recall").withColumn("representation", named)
+    sizes = storage_table(spark, 5_000_000, 100_000).select(F.col("method").alias("representation"), "item_bytes")
+    return V.beside(summary, sizes, on=["representation"]).select("method", "n", r6(F.col("mean")).alias("mean"), "item_bytes")
+
+
+def fixed_oversample(spark, sf):
+    """Filter after fetching eight times as many as are wanted, whatever the gate."""
+    rows, gates, n = _gates(spark, sf)
+    queries = _queries(spark, sf)
+    found = S.over_fetch(cut(_fetched(rows, queries, 80)), gates[0.2], 1.0, 10, 8.0, n)
+    return S.recall(found, cut(_gated(rows, queries, gates[0.2], 10)), queries).select("query_id", "hits", "n_truth", r6(F.col("recall")).alias("recall"))
+
+
+def exact_sample(spark, sf):
+    """A seeded sample of an exact size."""
+    rows = items(spark, sf)
+    return catalog.sample_exact(rows, "vec_id", rows.count() // 3).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("vec_id").alias("n_ids"))
+
+
+def raw_vectors(spark, sf):
+    """Vectors through the bytes of a raw file's rows and back."""
+    back = F.pandas_udf(lambda rows: rows.map(lambda x: np.frombuffer(x, "<f4")), "array<float>")
+    rows = items(spark, sf).select("vec_id", A.raw_bytes("embedding").alias("raw"))
+    return rows.select("vec_id", F.posexplode(back("raw")).alias("pos", "x")).select("vec_id", "pos", r6(F.col("x").cast("double")).alias("x"))
+
+
+def substrate_codes(spark, sf):
+    """The whole preparation in one call: quantile codes without whitening or projection."""
+    made = B.build_substrate(items(spark, sf), dim=DIM)
+    return items(spark, sf).select("vec_id", F.posexplode(made.codes()).alias("pos", "code"))
 
 
 def storage(spark, sf):
@@ -679,12 +756,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         encoder_centroid, item_codes, packed_codes, norm_check, normalised, sign_codes, rotated_codes, whitened, centroid_head, program_int4, program_planes, program_scalars, raw_score,
-        fused_scores, exact_linear, signed_logprob, mean_logprob, softmin, composition_rules, zero_shot, semantic_topk, candidate_scores, early_exit_topk, dense_topk,
-        dense_pool_exact_filter, facet_counts, gate_table, gated_truth_topk, overfetch_recall, label_threshold, uniform_codes, quantile_codes, bin_centroids, packed_small_codes,
+        fused_scores, exact_linear, signed_logprob, mean_logprob, softmin, composition_rules, zero_shot, semantic_topk, early_exit_topk, dense_topk,
+        dense_pool_exact_filter, facet_counts, gate_table, gated_truth_topk, overfetch_recall, uniform_codes, quantile_codes, bin_centroids, packed_small_codes,
         columnar_codes, pq_codes, pq_adc, pq_trained, code_histograms, llr_stats, llr_empirical_bayes, llr_program_score, newton_round1, boosted_lut, box_predicate, bitmask_predicate,
         ranking_stats_by_retention, group_summary, pivot_methods, paired_delta, prevalence_depth, bootstrap_ci, matched_frontier, best_f1_threshold, f1_at_zero, average_precision,
-        geometry_corr, latency_stats, trained_head, calibrated_program, neural_ceiling, exact_filter_candidates, query_specs, split_strict, split_stratified, concept_counts, truth_mask,
-        storage, tiled_codes, set_operations, result_parity, query_mentions, graph_search, graph_parity, graph_recall, knn_graph, graph_hops, stream_encode, event_windows, event_sessions,
+        concept_candidates, conjunction_counts, ordered_distinct, box_intersection, code_distance, method_table, fixed_oversample, exact_sample, raw_vectors, substrate_codes,
+        candidate_scores, label_threshold, tiled_codes, geometry_corr, latency_stats, trained_head, calibrated_program, neural_ceiling, exact_filter_candidates, query_specs, split_strict, split_stratified, concept_counts, truth_mask,
+        storage, set_operations, result_parity, query_mentions, graph_search, graph_parity, graph_recall, knn_graph, graph_hops, stream_encode, event_windows, event_sessions,
     )
 }
 QUERIES["semantic_topk_negated"] = partial(semantic_topk, positive=(), negative=("label7", "label2"))
