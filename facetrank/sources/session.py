@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import shutil
 import tempfile
@@ -62,13 +63,35 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     This ends the lineage: a lost executor costs only the tasks that read the files again, and no stage before it is
-    run twice. Column pruning works on what is read back. Results may be read for as long as the application runs, so
-    files stay until it ends.
+    run twice. Column pruning works on what is read back. Files go by :func:`drop`, or when the application ends.
     """
     spark = df.sparkSession
     path = f"{_own_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._facetrank_cut = path
+    return out
+
+
+def drop(*frames: DataFrame) -> None:
+    """Delete the files of tables that :func:`cut` has returned and that nothing will read again.
+
+    Whatever is derived from them must have been written by then. Then the driver's garbage is collected, so that Spark
+    lets go of the shuffle files of what has gone.
+    """
+    for frame in frames:
+        spark, place = frame.sparkSession, frame.__dict__.pop("_facetrank_cut", None)
+        if place:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    if frames:
+        sweep(frames[0].sparkSession)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Collect the driver's garbage, so that Spark deletes the shuffle files of plans that are no longer held."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def clear(spark: SparkSession) -> None:
