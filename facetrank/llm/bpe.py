@@ -210,12 +210,9 @@ class Bpe:
         for c, found in new.items():
             cuts[c] = pieces[found[0]] if len(found) == 1 else b"".join([pieces[p] for p in found])
         out = [b"".join(map(cuts.__getitem__, some)) for some in split]
-        for c in new:
-            if len(c) > LONGEST_KEY:
-                del cuts[c]
-        for p in fresh:
-            if len(p) > LONGEST_KEY:
-                del pieces[p]
+        for held, used in ((cuts, new), (pieces, fresh)):
+            for key in [k for k in used if len(k) > LONGEST_KEY]:
+                del held[key]
         return out
 
     def encode(self, text: str) -> bytes:

@@ -34,9 +34,11 @@ GROUP_PIECES = 2500
 #: A task packs one group, or several once there would be more tasks than this; it holds this many pieces at most.
 MANY_TASKS, TASK_PIECES = 2000, 1_000_000
 #: Words, and bare words, whose ids a worker keeps.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 300_000
 #: Bytes of the longest key that stays in the worker; others are encoded where they occur.
 LONGEST_KEY = 128
+#: Marks that compose with the letter before them.
+MARKS = "[\u0300-\u036f]"
 #: Never the beginning of a contraction, so a cut beside these is one that the vocabulary's pattern makes.
 LAST_LATIN = "\u024f"
 PUNCTUATION = b'.,;:!?#*$%&|<>()"'
@@ -89,25 +91,20 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path(vocabulary))
-        #: Written-out special tokens stand for themselves, across words if need be: texts that hold one are encoded whole.
+        #: Written-out special tokens stand for themselves, across words if need be: texts that hold one (or what would be
+        #: one in lower case) are encoded whole.
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special_bytes = [t.encode() for t in self.special]
         self.words, self.parts = Recent(CACHE_WORDS), Recent(CACHE_WORDS)
 
-    def cut(self, word: bytes) -> tuple[bytes, ...]:
-        parts = self.bare(word)
-        # Lower case must not write out a special token that the text doesn't hold.
-        return (word,) if any(s in p for p in parts for s in self.special_bytes) else parts
-
     @staticmethod
-    def bare(word: bytes) -> tuple[bytes, ...]:
+    def cut(word: bytes) -> tuple[bytes, ...]:
         if word.isalnum():
-            return (word.lower(),)
+            return (word,)
         bare = word.strip(PUNCTUATION)
         if bare.isascii():
             if not (bare[:1].isalnum() and bare[-1:].isalnum()):
                 return (word,)
-            low = bare.lower()
+            low = bare
         else:
             text = bare.decode()
             small = text.lower()
@@ -119,9 +116,10 @@ class WordEncoder:
         at = word.index(bare)
         return tuple(x for x in (word[:at], low, word[at + len(bare) :]) if x)
 
-    def known(self, distinct: list[bytes]) -> list[bytes]:
-        """Ids of each of some distinct words, as little-endian 32-bit integers."""
-        cuts = {w: self.cut(w) for w in self.words.missing(set(distinct))}
+    def known(self, distinct: list[bytes], longest: int) -> list[bytes]:
+        """Ids of each of some distinct words, as little-endian 32-bit integers; ``longest`` is their greatest length."""
+        cut = self.cut
+        cuts = {w: cut(w) for w in self.words.missing(set(distinct))}
         new = self.parts.missing(set().union(*cuts.values()))
         words, parts = self.words.young, self.parts.young
         for start in range(0, len(new), 4096):
@@ -131,35 +129,39 @@ class WordEncoder:
             at = 0
             for part, ids in zip(some, found, strict=True):
                 parts[part] = flat[at : (at := at + 4 * len(ids))]
-        for word, cut in cuts.items():
-            words[word] = parts[cut[0]] if len(cut) == 1 else b"".join([parts[p] for p in cut])
+        for word, pieces in cuts.items():
+            words[word] = parts[pieces[0]] if len(pieces) == 1 else b"".join([parts[p] for p in pieces])
         out = [words[w] for w in distinct]
-        for held, used in ((words, cuts), (parts, new)):
-            for key in used:
-                if len(key) > LONGEST_KEY:
-                    del held[key]
+        if longest > LONGEST_KEY:
+            for held, used in ((words, cuts), (parts, new)):
+                for key in used:
+                    if len(key) > LONGEST_KEY:
+                        del held[key]
         return out
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, first of each text and the end)."""
         whole = np.zeros(len(texts), bool)
         for content in self.special:
-            whole |= np.asarray(pc.match_substring(texts, content).fill_null(False))
+            whole |= np.asarray(pc.match_substring(texts, content, ignore_case=True).fill_null(False))
+        # ASCII letters are lower-cased first, as the rules do, but not before marks that may compose with a letter.
+        whole |= np.asarray(pc.match_substring_regex(texts, MARKS).fill_null(False))
         if not whole.any():
-            return self.plain_ids(texts)
-        flat, first = self.plain_ids(pc.if_else(pa.array(whole), "", texts))
+            return self.plain_ids(pc.ascii_lower(texts))
+        flat, first = self.plain_ids(pc.ascii_lower(pc.if_else(pa.array(whole), "", texts)))
         parts = [flat[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
         for i in np.flatnonzero(whole):
             parts[i] = np.array(self.tokenizer.encode(texts[int(i)].as_py(), add_special_tokens=False).ids, "<u4")
         return np.concatenate(parts), np.cumsum([0, *map(len, parts)])
 
     def plain_ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The same for texts without special tokens."""
+        """The same for texts without special tokens, in lower case."""
         split = pc.ascii_split_whitespace(texts.fill_null(""))
         first = np.asarray(split.offsets).astype(np.int64)
         coded = split.flatten().dictionary_encode()
         index = np.asarray(coded.indices)
-        held = self.known(coded.dictionary.cast(pa.binary()).to_pylist())
+        distinct = coded.dictionary.cast(pa.binary())
+        held = self.known(distinct.to_pylist(), pc.max(pc.binary_length(distinct)).as_py() or 0)
         size = np.array([len(x) for x in held], np.int64) // 4
         begin = np.cumsum(size) - size
         flat = np.frombuffer(b"".join(held), "<u4")
