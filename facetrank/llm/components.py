@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from facetrank.sources.session import cut
+from facetrank.sources.session import cut, drop
 
 
 def dealt_anew(sums: DataFrame, key: str) -> DataFrame:
@@ -31,7 +31,7 @@ def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
 
     Alternates large-star and small-star steps: the edge count never grows, a star stays a star, and a component of any
     shape ends as a star after a number of rounds that is logarithmic in practice. Each round is cut, so that a lost
-    executor repeats one round at most.
+    executor repeats one round at most; the result is cut as well, and the rounds are dropped.
     """
     now = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     for _ in range(max_rounds):
@@ -41,10 +41,13 @@ def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
         small = joined.select("v", "m").union(joined.select("u", "m")).toDF("u", "v").where("u <> v").distinct()
         after = cut(small)
         same = after.count() == now.count() and after.join(now, ["u", "v"], "left_anti").isEmpty()
+        drop(now)
         now = after
         if same:
             break
     else:
         raise RuntimeError("the components did not settle")
     # A settled table is a set of stars: each node beside its component.
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v")).distinct()
+    out = cut(now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v")).distinct())
+    drop(now)
+    return out

@@ -32,7 +32,7 @@ from pyspark.sql.types import MapType, VariantType
 
 from facetrank.llm import text as K
 from facetrank.llm.components import components, dealt_anew
-from facetrank.sources.session import cut, prepare
+from facetrank.sources.session import cut, drop, prepare, sweep
 
 POSITIONS = 96
 CHUNK = 6
@@ -260,19 +260,27 @@ def _open(members: DataFrame, found: DataFrame | None, number: int) -> DataFrame
 
 def link_by_rounds(members: DataFrame, reps: DataFrame, sets: DataFrame, positions: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(components found, members of the buckets that are still open); both are cut."""
-    found, left, before = None, members, None
+    found, left, before, held = None, members, None, None
     for number in range(ROUNDS):
         now = cut(_open(left, found, number))
+        if held is not None:
+            drop(held)  # of the round before, from which ``left`` came
+        held = now
         stars = now.where("component <> home").select(F.col("centre").alias("u"), F.col("id").alias("v")).distinct()
-        links = confirm(cut(near_enough(stars, reps, positions, percent)), sets, percent)
+        near = cut(near_enough(stars, reps, positions, percent))
+        links = cut(confirm(near, sets, percent))
         known = links if found is None else links.union(found.select(F.col("node").alias("u"), F.col("component").alias("v")))
-        found = cut(components(known))
+        after = components(known)
+        drop(near, links, *([] if found is None else [found]))
+        found = after
         left = now.where("id <> centre AND size > 2").select("key", "id")
         still = left.count()  # some of these are closed by the links just found, which the next round sees
         if not still or before is not None and still > (1 - LEAST_CLOSED) * before:
             break
         before = still
-    return found, cut(_open(left, found, ROUNDS).select("home", "id", "component").distinct())
+    rest = cut(_open(left, found, ROUNDS).select("home", "id", "component").distinct())
+    drop(held)
+    return found, rest
 
 
 def confirm_across(named: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
@@ -335,11 +343,14 @@ def near_duplicates(
     reps = cut(classes.select("d1", "d2", "n_shingles", "copies", F.col("x.doc_id").alias("id"), F.col("x.sig").alias("sig")))
 
     members = cut(_bucket_members(reps, positions, chunk, errors))
+    sweep(docs.sparkSession)
     sets = cut(full_sets(docs, members, shingle))
     found, still = link_by_rounds(members, reps, sets, positions, percent)
+    drop(members)
     more = []
     if not still.isEmpty():
         more.append(cut(confirm_across(still, sets, percent)))
+    drop(still, sets)
     # An id on rows with different sets is one node: it links their classes.
     several = full.groupBy("doc_id").agg(F.min(F.struct("d1", "d2")).alias("a"), F.max(F.struct("d1", "d2")).alias("b")).where("a <> b").select("doc_id")
     if not several.isEmpty():
@@ -348,7 +359,9 @@ def near_duplicates(
     more = [x for x in more if not x.isEmpty()]
     if more:
         known = found.select(F.col("node").alias("u"), F.col("component").alias("v"))
-        found = cut(components(reduce(DataFrame.union, more, known)))
+        after = components(reduce(DataFrame.union, more, known))
+        drop(found, *more)
+        found = after
 
     # Only classes of several documents, and linked ones, need a place in the join; copies of one class are salted.
     homes = reps.join(found.withColumnRenamed("node", "id").hint("merge"), "id", "left").where("copies > 1 OR component IS NOT NULL")

@@ -3,8 +3,8 @@
 A byte goes if some string of ``length`` bytes that covers it also starts anywhere else. Strings (windows) are dealt by
 the smallest hash of their 32-byte grams: equal windows have the same one, and neighbouring windows mostly share it, so
 that a document becomes a few runs of windows, each a segment of its bytes. A hash that occurs once can't hold a repeat,
-and its segments end there; no bytes are moved for them. Segments with the same bytes (by a cryptographic hash, so that no
-pattern can make different ones look the same) count as one with a weight, and are repeats as they stand.
+and its segments end there; no bytes are moved for them. Segments with the same bytes (by a keyed hash, so that no pattern can
+make different ones look the same) count as one with a weight, and are repeats as they stand.
 
 What is left is gathered by hash into batches of bounded size. In each, the transform of the segments is built, and the
 longest common prefixes of neighbouring suffixes are derived by increasing value: each boundary found at one value is
@@ -36,7 +36,7 @@ from pyspark.sql.types import LongType, StructField
 
 from facetrank.llm import text as K
 from facetrank.llm.components import dealt_anew
-from facetrank.sources.session import cut, prepare
+from facetrank.sources.session import cut, drop, prepare, sweep
 
 LENGTH = 200
 GRAM = 32
@@ -363,8 +363,9 @@ def _whole_windows(parts: DataFrame, length: int) -> DataFrame:
     return every.where("own = 1").join(dealt_anew(again, "k").hint("merge"), "k", "left_semi").select("id0", "d", "spans")
 
 
-def _hot_ranges(parts: DataFrame, length: int) -> DataFrame:
-    """As :func:`_expand_batches`, for hashes with more segments than a batch may hold."""
+def _hot_ranges(parts: DataFrame, length: int, used: list[DataFrame]) -> DataFrame:
+    """As :func:`_expand_batches`, for hashes with more segments than a batch may hold; tables cut on the way are put in
+    ``used``."""
     ranges = []
     for width in ENDS:
         runs = cut(_split(parts, length, width))
@@ -375,6 +376,7 @@ def _hot_ranges(parts: DataFrame, length: int) -> DataFrame:
         open_ = F.count_if(F.expr("m = 1")).alias("single"), F.count(F.lit(1)).alias("kinds"), F.bool_or("inner").alias("inner_any")
         sizes = kinds.groupBy("h").agg(F.sum(F.octet_length("data")).alias("bytes"), *open_).where("single > 0 AND (kinds > 1 OR inner_any)")
         left = cut(kinds.join(dealt_anew(sizes, "h").hint("merge"), "h").select(*_PART, "bytes"))
+        used += [runs, kinds, left]
         ranges.append(_expand_batches(left.where(F.col("bytes") <= HOT_BYTES), length))
         parts = left.where(F.col("bytes") > HOT_BYTES).select(*_PART)
         if parts.isEmpty():
@@ -426,13 +428,15 @@ def whole_characters(data: bytes, ranges: list[tuple[int, int]]) -> list[tuple[i
     return out
 
 
-def _spans(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
-    """(fingerprints of all rows, (id0, d, text, ranges) of those with repeats); both are cut."""
+def _spans(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(fingerprints of all rows, texts that may have repeats, (id0, d, text, ranges) of those that do); the first two are
+    cut, and may be dropped once nothing reads them."""
     unique = unique_ids(docs)
     every = cut(fingerprint(docs, length, unique))
     runs = every.select("id0", "d", F.explode("segments").alias("s")).select("id0", "d", "s.*")
     again = runs.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.bool_or("inner").alias("inner")).where("k > 1 OR inner").select("h")
     rows = cut(runs.join(dealt_anew(again, "h").hint("merge"), "h", "left_semi"))
+    sweep(docs.sparkSession)
     kinds = rows.groupBy("h", "c").agg(F.count(F.lit(1)).alias("m"), F.bool_or("inner").alias("inner"), F.min(F.struct("id0", "d", "start", "n")).alias("x"))
     kinds = cut(kinds.select("h", "c", "m", "inner", "x.*"))
 
@@ -447,15 +451,18 @@ def _spans(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     if not unique and not every.groupBy("id0", "d").count().where("count > 1").isEmpty():
         once = texts.dropDuplicates(["id0", "d"])  # rows that are the same in id and text are asked once
     parts = cut(_fetch(once, length))
+    sweep(docs.sparkSession)
     ranges = _expand_batches(parts.where("NOT hot"), length)
     hot = parts.where("hot").drop("hot")
+    used: list[DataFrame] = [rows, kinds, parts]
     if not hot.isEmpty():
-        ranges = ranges.union(_hot_ranges(hot, length))
+        ranges = ranges.union(_hot_ranges(hot, length, used))
     same = rows.join(kinds.where("m > 1").select("h", "c").hint("merge"), ["h", "c"], "left_semi")
     span = F.struct(F.col("start").alias("a"), (F.col("start") + F.col("n") + (length - 1)).alias("b"))
     whole = same.select("id0", "d", F.array(span).alias("spans"))
-    ranges = whole.union(ranges).groupBy("id0", "d").agg(F.flatten(F.collect_list("spans")).alias("ranges"))
-    return every, texts.select("id0", "d", "text").join(ranges.hint("merge"), ["id0", "d"])
+    ranges = cut(whole.union(ranges).groupBy("id0", "d").agg(F.flatten(F.collect_list("spans")).alias("ranges")))
+    drop(*used)
+    return every, texts, texts.select("id0", "d", "text").join(ranges.hint("merge"), ["id0", "d"])
 
 
 def _with_digest(docs: DataFrame, unique: bool) -> DataFrame:
@@ -474,7 +481,7 @@ def _with_digest(docs: DataFrame, unique: bool) -> DataFrame:
 def repeat_report(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     slim = docs.select(F.col(K.quoted(doc_id)).cast("bigint").alias("doc_id"), F.col(K.quoted(text)).alias("text"))
-    every, hit = _spans(slim, length)
+    every, texts, hit = _spans(slim, length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in K.slices(batches):
@@ -489,7 +496,8 @@ def repeat_report(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
                 [batch.column("id0"), batch.column("d"), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha)], names=["id0", "d", "n_removed", "n_spans", "kept"]
             )
 
-    changed = hit.mapInArrow(run, "id0 bigint, d bigint, n_removed bigint, n_spans bigint, kept string").dropDuplicates(["id0", "d"])
+    changed = cut(hit.mapInArrow(run, "id0 bigint, d bigint, n_removed bigint, n_spans bigint, kept string").dropDuplicates(["id0", "d"]))
+    drop(texts)
     out = every.drop("segments").join(changed, ["id0", "d"], "left")
     counts = [F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in ("n_removed", "n_spans")]
     return out.select("doc_id", "n_bytes", *counts, F.coalesce("kept", "sha256").alias("kept_sha256"))
@@ -501,7 +509,8 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
     Of a character of several bytes, all go or none: spans are shrunk to whole characters.
     """
     slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    _, hit = _spans(slim, length)
+    every, texts, hit = _spans(slim, length)
+    drop(every)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in K.slices(batches):
@@ -514,6 +523,7 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
 
     id0, d, new = (K.unused(c, docs.columns) for c in ("id0", "d", "kept"))
     changed = cut(hit.mapInArrow(run, "id0 bigint, d bigint, kept string")).dropDuplicates(["id0", "d"]).toDF(id0, d, new)
+    drop(texts)
 
     if unique_ids(slim):
         marked = docs.withColumns({id0: F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1)), d: F.lit(0).cast("bigint")})

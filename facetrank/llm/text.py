@@ -6,19 +6,24 @@ the slice (or the longest single document) and not the partition.
 
 from __future__ import annotations
 
-import hashlib
+import contextlib
+import ctypes
+import gc
 import sys
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pandas.util import hash_array
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructField, StructType
 
 #: Bytes of text that a kernel handles at once; its arrays take some 100 times that.
 SLICE_BYTES = 1 << 20
 U64 = np.uint64
+#: 16 bytes; a deployment that fears made-up collisions sets its own, the same on all workers.
+HASH_KEY = "content of texts"
 _BASE = 0x9E3779B97F4A7C15 | 1  # odd, hence invertible modulo 2**64
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 
@@ -70,8 +75,14 @@ def worker_cache(name: str, make):
 def release(using: str | None = None) -> None:
     """Drop what other operators' tasks have left in this worker, which serves one stage after the other."""
     held = sys.__dict__.get("_facetrank_worker_cache", {})
-    for name in [n for n in held if n not in ("powers", using)]:
+    gone = [n for n in held if n not in ("powers", using)]
+    for name in gone:
         del held[name]
+    if gone:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)  # give the pages back, where the system's library can
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES, using: str | None = None) -> Iterator[pa.RecordBatch]:
@@ -169,14 +180,14 @@ def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return start, stop, np.searchsorted(start, offsets)
 
 
-def content_hash(data: bytes) -> bytes:
-    """64 bits of a cryptographic hash, for equality that decides results: no pattern of bytes can make it collide."""
-    return hashlib.blake2b(data, digest_size=8).digest()
-
-
-def content_hashes(values: Iterable[bytes]) -> np.ndarray:
-    """:func:`content_hash` of each value."""
-    return np.frombuffer(b"".join(map(content_hash, values)), U64)
+def content_hashes(values: Iterable[bytes] | np.ndarray) -> np.ndarray:
+    """64 bits of a keyed hash (SipHash) of each value, for equality that decides results: a pseudo-random function, so no
+    pattern of bytes makes different values collide more often than chance does."""
+    if not isinstance(values, np.ndarray):
+        held = [bytes(v) for v in values]
+        values = np.empty(len(held), object)
+        values[:] = held
+    return hash_array(values, hash_key=HASH_KEY, categorize=False) if len(values) else np.empty(0, U64)
 
 
 def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -187,7 +198,7 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     letters = raw[~IS_SPACE[raw]]
     every = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(letters))])
     coded = every.dictionary_encode()
-    return content_hashes(coded.dictionary.to_pylist())[np.asarray(coded.indices)], first
+    return content_hashes(coded.dictionary.to_numpy(zero_copy_only=False))[np.asarray(coded.indices)], first
 
 
 def windows(hashes: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
