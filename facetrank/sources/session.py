@@ -76,16 +76,13 @@ def cut(df: DataFrame) -> DataFrame:
 def drop(*frames: DataFrame) -> None:
     """Delete the files of tables that :func:`cut` has returned and that nothing will read again.
 
-    Whatever is derived from them must have been written by then. Then the driver's garbage is collected, so that Spark
-    lets go of the shuffle files of what has gone.
+    Whatever is derived from them must have been written by then.
     """
     for frame in frames:
         spark, place = frame.sparkSession, frame.__dict__.pop("_facetrank_cut", None)
         if place:
             path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    if frames:
-        sweep(frames[0].sparkSession)
 
 
 def sweep(spark: SparkSession) -> None:
