@@ -38,8 +38,9 @@ POSITIONS = 96
 CHUNK = 6
 ERRORS = 1
 SALTS = 16
-#: Rounds of centres at most, and the share of open members that a round must close for another to follow.
-ROUNDS, LEAST_CLOSED = 12, 0.15
+#: Rounds of centres at most, and the share of open members that a round must close for another to follow: as long as it
+#: is half, all rounds together cost no more than twice the first.
+ROUNDS, LEAST_CLOSED = 12, 0.5
 #: Members of a block in the comparison of what rounds leave open.
 BLOCK = 512
 #: Share of pairs at the least similarity that may be further apart than the signature distance up to which pairs are
@@ -261,25 +262,29 @@ def _open(members: DataFrame, found: DataFrame | None, number: int) -> DataFrame
 def link_by_rounds(members: DataFrame, reps: DataFrame, sets: DataFrame, positions: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(components found, members of the buckets that are still open); both are cut."""
     found, left, before, held = None, members, None, None
-    for number in range(ROUNDS):
+    for number in range(ROUNDS + 1):
         now = cut(_open(left, found, number))
         if held is not None:
             drop(held)  # of the round before, from which ``left`` came
-        held = now
+        held, n = now, now.count()
+        if not n or number == ROUNDS or before is not None and n > (1 - LEAST_CLOSED) * before:
+            break
         stars = now.where("component <> home").select(F.col("centre").alias("u"), F.col("id").alias("v")).distinct()
         near = cut(near_enough(stars, reps, positions, percent))
         links = cut(confirm(near, sets, percent))
-        known = links if found is None else links.union(found.select(F.col("node").alias("u"), F.col("component").alias("v")))
-        after = components(known)
-        drop(near, links, *([] if found is None else [found]))
-        found = after
-        left = now.where("id <> centre AND size > 2").select("key", "id")
-        still = left.count()  # some of these are closed by the links just found, which the next round sees
-        if not still or before is not None and still > (1 - LEAST_CLOSED) * before:
-            break
-        before = still
-    rest = cut(_open(left, found, ROUNDS).select("home", "id", "component").distinct())
+        if found is None:
+            found = components(links)
+        elif not links.isEmpty():
+            after = components(links.union(found.select(F.col("node").alias("u"), F.col("component").alias("v"))))
+            drop(found)
+            found = after
+        drop(near, links)
+        sweep(members.sparkSession)
+        left, before = now.where("id <> centre AND size > 2").select("key", "id"), n
+    rest = cut(held.select("home", "id", "component").distinct())
     drop(held)
+    if found is None:
+        found = members.sparkSession.createDataFrame([], "node bigint, component bigint")
     return found, rest
 
 
@@ -351,6 +356,7 @@ def near_duplicates(
     if not still.isEmpty():
         more.append(cut(confirm_across(still, sets, percent)))
     drop(still, sets)
+    sweep(docs.sparkSession)
     # An id on rows with different sets is one node: it links their classes.
     several = full.groupBy("doc_id").agg(F.min(F.struct("d1", "d2")).alias("a"), F.max(F.struct("d1", "d2")).alias("b")).where("a <> b").select("doc_id")
     if not several.isEmpty():
