@@ -5,10 +5,14 @@ import numpy as np
 import pytest
 
 from facetrank.operators import graph as G
+from facetrank.operators import quantize as Q
 from facetrank.operators import search as S
+from facetrank.plans.oracle import ORACLE
 from facetrank.plans.queries import QUERIES
 
 LARGE = "/root/testdata/sf0.1"
+#: Queries on codes of quantisers, whose edges are fitted on all rows.
+CODES = ["code_distance"]
 
 
 def embeddings():
@@ -94,3 +98,38 @@ def test_dense_scores_in_blocks(spark, monkeypatch):
     items = spark.createDataFrame([(0, [1.0, 2.0]), (1, [3.0, -1.0])], "vec_id bigint, embedding array<double>")
     found = S.dense_scores(items, {q: [float(q), 1.0] for q in range(5)}).collect()
     assert sorted((r["query_id"], r["vec_id"], r["dense"]) for r in found) == sorted((q, i, s) for q in range(5) for i, s in ((0, q + 2.0), (1, 3.0 * q - 1)))
+
+
+@pytest.fixture(scope="module")
+def many(tmp_path_factory):
+    """110,000 vectors: 55 copies of sf0.1's, each with its components turned by another number of places."""
+    folder = tmp_path_factory.mktemp("many")
+    turned = "embedding[1 + k:64] || embedding[1:k] AS embedding, (label + k) % 10 AS label"
+    duckdb.sql(f"COPY (SELECT vec_id + 2000 * k AS vec_id, {turned} FROM '{LARGE}/embeddings.parquet', range(55) t(k)) TO '{folder}/embeddings.parquet' (ROW_GROUP_SIZE 10000)")
+    return str(folder)
+
+
+@pytest.mark.parametrize("last_values", [Q.LAST_VALUES, 200])
+def test_quantiles_of_odd_values(spark, monkeypatch, last_values):
+    """Nulls, NaN, both zeros, infinities, ties and vectors of other lengths, as the library's exact percentile has them."""
+    monkeypatch.setattr(Q, "LAST_VALUES", last_values)
+    inf, nan, at = np.inf, np.nan, [0.0, 0.005, 0.25, 0.5, 0.75, 1.0]
+    odd = [[1.0, None, nan, -0.0], [2.0, 5.0, 1.0, 0.0], None, [3.0], [], [1.0, inf, 2.0, 0.0, 7.0], [1.0, -inf, 2.0, 5e-324], [-1e308, 4.0, nan, -0.0]]
+    rng = np.random.default_rng(5)
+    for rows in (odd, rng.integers(-2, 3, (2000, 5)).astype(float).tolist(), (rng.standard_cauchy((2000, 5)) ** 7).tolist()):
+        items = spark.createDataFrame([(r,) for r in rows], "e array<double>").repartition(3)
+        want = items.selectExpr(*[f"percentile(get(e, {i}), array({','.join(f'{a}D' for a in at)})) AS q{i}" for i in range(5)]).first()
+        assert np.array_equal(Q.quantiles(items, "e", 5, at), list(want), equal_nan=True)
+    assert np.isnan(Q.quantiles(items.where("false"), "e", 5, at)).all()
+
+
+@pytest.mark.parametrize("name", CODES)
+def test_codes_of_many_rows(spark, many, tmp_path, name):
+    """Edges are those of all rows, however many there are: every row is that of the query's SQL."""
+    QUERIES[name](spark, many).write.parquet(str(tmp_path / "out"))
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW embeddings AS FROM '{many}/embeddings.parquet'")
+    db.sql(f"CREATE TABLE want AS {ORACLE[name]}")
+    db.sql(f"CREATE TABLE found AS SELECT {', '.join(c[0] for c in db.sql('DESCRIBE want').fetchall())} FROM '{tmp_path}/out/*.parquet'")
+    assert db.sql("SELECT count(*) > 0 FROM want").fetchall() == [(True,)]
+    assert db.sql("(FROM want EXCEPT ALL FROM found) UNION ALL (FROM found EXCEPT ALL FROM want) LIMIT 1").fetchall() == []
