@@ -12,7 +12,7 @@ from facetrank.plans.queries import QUERIES
 
 LARGE = "/root/testdata/sf0.1"
 #: Queries on codes of quantisers, whose edges are fitted on all rows.
-CODES = ["code_distance", "code_histograms", "columnar_codes", "quantile_codes", "substrate_codes", "uniform_codes", "llr_program_score", "newton_round1"]
+CODES = ["code_distance", "code_histograms", "columnar_codes", "quantile_codes", "substrate_codes", "uniform_codes", "llr_program_score", "newton_round1", "packed_small_codes"]
 
 
 def embeddings():
