@@ -81,8 +81,8 @@ def quantiles(items: DataFrame, embedding: str, dim: int, at: Sequence[float]) -
 
     The values of the wanted ranks are found digit by digit, in the order of the doubles: a round counts the next digit of
     the values that share what is known of a wanted one. Tasks send counts, so none holds the values of a coordinate. A
-    round reads the items once; there are two for up to some 300,000 rows of 64 dimensions, three up to many millions, and
-    seven at most, whatever the values are.
+    round reads the items once; there were three for 3,076,920 rows of 64 dimensions, and there are seven at most, whatever
+    the values are.
     """
     prepare(items.sparkSession)
     rows = items.select(vector(embedding).alias("v"))
