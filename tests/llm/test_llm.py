@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).parent))
 import brute
 
-from facetrank.llm import bpe, minhash, packing, quality, secrets, sharding, suffix, token_counts, topk, urls
+from facetrank.llm import bpe, components, minhash, packing, quality, secrets, sharding, suffix, token_counts, topk, urls
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 SF = "/root/testdata/sf0.001"
@@ -122,6 +122,40 @@ def test_near_blocks(spark, monkeypatch):
     assert {r["node"]: r["component"] for r in both.collect()} == {i: i - i % 2 for i in range(120)}
 
 
+def test_components(spark):
+    """One task for few links, rounds for more, rounds until few are left: all as a walk over the links finds."""
+    rng = random.Random(7)
+    links = [(5, 5), (9, 3), (9, 3), *((i, i + 1) for i in range(1000, 1060)), *((2000, 2001 + i) for i in range(40)), *((rng.randrange(3000, 3200), rng.randrange(3000, 3200)) for _ in range(120))]
+    near = {}
+    for a, b in links:
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    want = {}
+    for start in sorted(near):
+        todo = [] if start in want else [start]
+        while todo:
+            x = todo.pop()
+            if want.setdefault(x, start) == start:
+                todo += near[x] - want.keys()
+    table = spark.createDataFrame(links, "u bigint, v bigint").repartition(7)
+    for local in (0, 150, components.LOCAL_LINKS):
+        rows = components.components(table, local=local).collect()
+        assert len(rows) == len(want) and {r["node"]: r["component"] for r in rows} == want
+    assert components.components(table.where("u = v")).count() == components.components(table.limit(0), local=0).count() == 0
+
+
+def test_components_tasks(spark):
+    """Few links cost a few stages, however many partitions a shuffle has."""
+    sc = spark.sparkContext
+    table = spark.createDataFrame([(i, i + 1) for i in range(100)], "u bigint, v bigint")
+    sc.setJobGroup("few links", "")
+    components.components(table)
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    jobs = sc.statusTracker().getJobIdsForGroup("few links")
+    assert jobs and sum(len(sc.statusTracker().getJobInfo(j).stageIds) for j in jobs) <= 6
+
+
 def test_near_one_id_on_several_texts(spark):
     a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
     rows = [(1, a, "s"), (5, a, "s"), (5, b, "s"), (9, b + " more", "s"), (7, c, "s"), (2, c, "s"), (2, None, "s"), (None, a, "s")]
