@@ -12,6 +12,7 @@ the capacity and only its last piece may be shorter.
 
 from __future__ import annotations
 
+import json
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -81,7 +82,8 @@ class WordEncoder:
     The vocabulary's rules drop white space and never join across it, so a text's ids are those of its words in turn.
     A word is also cut between punctuation at its ends and a letter or digit, where the rules always cut, so that the
     bare word is what is encoded and kept. Bare words of Latin letters are lower-cased first, as the rules do (none of
-    these letters composes with another, and each has one lower-case letter).
+    these letters composes with another, and each has one lower-case letter). The rules leave a word of such lower-case
+    letters as it is and whole, so it goes to the merges without them.
     """
 
     def __init__(self, vocabulary: str):
@@ -95,6 +97,12 @@ class WordEncoder:
         #: one in lower case) are encoded whole.
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.words, self.parts = Recent(CACHE_WORDS), Recent(CACHE_WORDS)
+        #: The same merges for words of lower-case Latin letters, on which the other rules have no effect.
+        rules = json.loads(self.tokenizer.to_str())
+        types = [[x["type"] for x in (rules[k] or {}).get(of, [])] for k, of in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers"))]
+        self.merges = self.tokenizer
+        if types == [["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]]:
+            self.merges = Tokenizer.from_str(json.dumps(rules | {"normalizer": None, "pre_tokenizer": rules["pre_tokenizer"]["pretokenizers"][1]}))
 
     @staticmethod
     def cut(word: bytes) -> tuple[bytes, ...]:
@@ -123,12 +131,14 @@ class WordEncoder:
         new = self.parts.missing(set().union(*cuts.values()))
         words, parts = self.words.young, self.parts.young
         for start in range(0, len(new), 4096):
-            some = new[start : start + 4096]
-            found = [x.ids for x in self.tokenizer.encode_batch_fast([p.decode() for p in some], add_special_tokens=False)]
-            flat = np.array([i for ids in found for i in ids], "<u4").tobytes()
-            at = 0
-            for part, ids in zip(some, found, strict=True):
-                parts[part] = flat[at : (at := at + 4 * len(ids))]
+            some = {p: p.decode() for p in new[start : start + 4096]}
+            plain = {p: x for p, x in some.items() if x.isalpha() and x.islower() and (x.isascii() or max(x) <= LAST_LATIN)}
+            for tokenizer, held in ((self.merges, plain), (self.tokenizer, {p: x for p, x in some.items() if p not in plain})):
+                found = [x.ids for x in tokenizer.encode_batch_fast(list(held.values()), add_special_tokens=False)] if held else []
+                flat = np.array([i for ids in found for i in ids], "<u4").tobytes()
+                at = 0
+                for part, ids in zip(held, found, strict=True):
+                    parts[part] = flat[at : (at := at + 4 * len(ids))]
         for word, pieces in cuts.items():
             words[word] = parts[pieces[0]] if len(pieces) == 1 else b"".join([parts[p] for p in pieces])
         out = [words[w] for w in distinct]

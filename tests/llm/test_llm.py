@@ -463,6 +463,19 @@ def test_word_encoder():
         assert encoder.ids(pa.array([text]))[0].tolist() == theirs.encode(text, add_special_tokens=False).ids
 
 
+def test_word_encoder_plain_letters():
+    """Words of lower-case Latin letters need the merges alone; all others get the vocabulary's rules as well."""
+    encoder = packing.WordEncoder("word_bpe_49k.json")
+    full = encoder.tokenizer
+    letters = [chr(c) for c in range(0x41, 0x280) if chr(c).isalpha()]
+    words = [w for x in letters for w in (x, x + x, "a" + x, x + "e", f"st{x}rn", f"{x}'s")]
+    flat, first = encoder.ids(pa.array(words))
+    assert [flat[a:b].tolist() for a, b in zip(first[:-1], first[1:], strict=True)] == [full.encode(w, add_special_tokens=False).ids for w in words]
+    encoder = packing.WordEncoder("word_bpe_49k.json")
+    encoder.tokenizer = None
+    assert encoder.ids(pa.array(["Plain words größer"]))[0].tolist() == full.encode("Plain words größer", add_special_tokens=False).ids
+
+
 def test_bin_slack():
     assert sorted(packing.fullest([9, 7, 5, 3], {9: [0], 7: [1], 5: [2], 3: [3, 4]}, 13)) == [3, 3, 7]
     assert packing.fullest([9], {9: [0]}, 5) == []
